@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, url_filters
+from . import bpe, exact_dedup, packing, quality_rules, url_filters
 from .common import table
 
 
+def vocabulary(name: str) -> bytes:
+    """A public vocabulary's file; its place is asked of the library that brings it."""
+    import public_tokenizers
+
+    return bpe.read_vocabulary(public_tokenizers.path(name))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"))
 
@@ -21,10 +28,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.drop("reasons")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL = {
