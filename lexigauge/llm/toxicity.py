@@ -291,22 +291,25 @@ def separation(diff: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def fit_curve(diff: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton's method with a small ridge on the slope."""
-    if len(diff) == 0 or toxic.min() == toxic.max():
-        return 1.0, 0.0
-    scale = float(diff.std()) or 1.0
+    """Slope and shift of a logistic curve: Newton's method with a unit ridge on the standardised slope.
+
+    With one class only, differences that are all alike or that point the wrong way, the slope is 0
+    and the shift is that of the class shares, half a document added to each.
+    """
+    base = float(np.log((toxic.sum() + 0.5) / ((1 - toxic).sum() + 0.5)))
+    scale = float(diff.std()) if len(diff) else 0.0
+    if scale < 1e-9 or toxic.min() == toxic.max():
+        return 0.0, base
     x = np.stack([diff / scale, np.ones(len(diff))], 1)
-    beta = np.zeros(2)
-    ridge = np.diag([1e-3 * len(diff), 1e-6])
-    for _ in range(50):
+    beta, ridge = np.array([0.0, base]), np.diag([1.0, 1e-3])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve(
-            (x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(2), x.T @ (toxic - p) - ridge @ beta
-        )
-        beta += np.clip(step, -5, 5)
+        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge
+        step = np.clip(np.linalg.solve(curve, x.T @ (toxic - p) - ridge @ beta), -2, 2)
+        beta += step
         if np.abs(step).max() < 1e-8:
             break
-    return max(0.0, float(beta[0])) / scale, float(beta[1])
+    return (float(beta[0]) / scale, float(beta[1])) if beta[0] > 0 else (0.0, base)
 
 
 def measure(docs: DataFrame, models: list[Model]) -> DataFrame:
