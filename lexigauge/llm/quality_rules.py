@@ -203,3 +203,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
         (F.size("reasons") == 0).alias("kept"),
         "reasons",
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    A doc_id that repeats is dropped only if all its rows are rejected.
+    """
+    judged = staged(quality_rules(docs, labels).select("doc_id", "kept"), "quality-judged")
+    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("any")).where("not any").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, license_scan, packing, quality_rules, toxicity, url_filters, warc
+from . import (
+    bpe,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    license_scan,
+    packing,
+    quality_rules,
+    toxicity,
+    url_filters,
+    warc,
+)
 from .common import table
 
 
@@ -15,6 +26,10 @@ def vocabulary(name: str) -> bytes:
     return bpe.read_vocabulary(public_tokenizers.path(name))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"))
 
@@ -55,6 +70,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_url_filters": op2_url_filters,
     "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
