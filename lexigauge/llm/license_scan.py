@@ -120,8 +120,8 @@ class Scanner:
                 found.update((k, int(block)) for k in tops[int(window[block])])
         return sorted(found)
 
-    def scan(self, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
-        """(text, notice, containment, first shingle, last shingle) for every window that verifies."""
+    def scan(self, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, float, np.ndarray]]:
+        """(text, notice, containment, the text's shingles that hit) for every window that verifies."""
         w = textvec.words(buf, off, BREAKS)
         sh, bounds = textvec.shingles(textvec.span_hashes(buf, w.starts, w.ends), w.bounds, WIDTH)
         if not len(sh):
@@ -139,7 +139,7 @@ class Scanner:
                     if len(own):
                         share = len(np.unique(sh[own])) / len(self.sets[k])
                         if share >= self.containment:
-                            yield first, k, share, int(own[0] - bounds[first]), int(own[-1] - bounds[first])
+                            yield first, k, share, own - bounds[first]
                     first += 1
 
 
@@ -153,7 +153,8 @@ def license_scan(
 
     A license is found where some window holds at least ``containment`` of the distinct 5-word
     shingles of one of its notices (a notice of fewer words is one shingle). ``first_word`` counts
-    the text's words from 0; ``n_places`` counts places that do not overlap. Null, empty and
+    the text's words from 0; ``n_places`` counts runs of
+    its shingles that are more than a changed word apart. Null, empty and
     unlicensed texts give no row; ids that repeat give a row for each row of ``docs``; null ids come
     back as null; an empty table or no templates give no rows; other columns are ignored.
     """
@@ -163,17 +164,18 @@ def license_scan(
         scanner = Scanner(templates, containment, miss)
         for batch in batches:
             for lo, _, buf, off in textvec.chunks(batch.column("text"), 1 << 20):
-                places: dict[tuple[int, str], list[tuple[int, int, float]]] = {}
-                for text, k, share, first, last in scanner.scan(buf, off):
-                    places.setdefault((text, names[k]), []).append((first, last, share))
+                shares: dict[tuple[int, str], float] = {}
+                hits: dict[tuple[int, str], set[int]] = {}
+                for text, k, share, at in scanner.scan(buf, off):
+                    key = text, names[k]
+                    shares[key] = max(share, shares.get(key, 0.0))
+                    hits.setdefault(key, set()).update(at.tolist())
                 rows = []
-                for (text, name), spans in sorted(places.items()):
-                    n, reach = 0, -1
-                    for first, last, _ in sorted(spans):
-                        n += first > reach
-                        reach = max(reach, last)
-                    best = max(share for *_, share in spans)
-                    rows.append((text, name, best, min(first for first, *_ in spans), n))
+                for (text, name), at in sorted(hits.items()):
+                    order = np.array(sorted(at))
+                    # hits of one place are neighbours, or a changed word apart
+                    places = 1 + int((np.diff(order) > WIDTH).sum())
+                    rows.append((text, name, shares[text, name], int(order[0]), places))
                 if rows:
                     text, name, share, first, n = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
