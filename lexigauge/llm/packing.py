@@ -142,8 +142,9 @@ class Packer:
     def __init__(self, window: int, tiers: tuple[int, ...], first_id: int, group: int):
         self.window, self.tiers, self.group = window, tiers, group
         self.next_id, self.leftovers = first_id, Leftovers()
-        self.open_groups: dict[int, list[list]] = {}
         self.next_group = first_id
+        self.waiting: dict[int, list[tuple[int, list[tuple]]]] = {}  # (cost, rows) of sequences by padded length
+        self.n_waiting = 0
         self.rows: list[tuple] = []
 
     def add(self, doc_id, ids: np.ndarray) -> None:
@@ -158,33 +159,35 @@ class Packer:
     def flush(self, last: bool) -> None:
         for pieces in pack(self.leftovers, self.window, last):
             self._emit(pieces)
-
-    def _step_group(self, padded: int, cost: int) -> int:
-        """Of the open groups for this length, the one with the least cost so far; it closes when full."""
-        groups = self.open_groups.setdefault(padded, [])
-        if not groups:
-            for _ in range(self.group):
-                groups.append([0, self.next_group, 0])
-                self.next_group += 1
-        best = min(groups)
-        best[0] += cost
-        best[2] += 1
-        if best[2] == self.group:
-            groups.remove(best)
-        return best[1]
+        self.deal_groups()
+
+    def deal_groups(self) -> None:
+        """Deals the waiting sequences of each length to step groups, the costliest first, to and fro."""
+        for _, sequences in sorted(self.waiting.items()):
+            sequences.sort(key=lambda s: -s[0])
+            n = -(-len(sequences) // self.group)
+            for k, (_, rows) in enumerate(sequences):
+                turn, at = divmod(k, n)
+                group = self.next_group + (n - 1 - at if turn % 2 else at)
+                self.rows += [(*r, group) for r in rows]
+            self.next_group += n
+        self.waiting, self.n_waiting = {}, 0
 
     def _emit(self, pieces: list[Piece]) -> None:
         used = sum(len(p.ids) for p in pieces)
         padded = used if used & (used - 1) == 0 else self.window
         tier = self.tiers[min(bisect_left(self.tiers, max(len(p.ids) for p in pieces)), len(self.tiers) - 1)]
-        group = self._step_group(padded, sum(len(p.ids) ** 2 for p in pieces))
-        offset = 0
+        offset, rows = 0, []
         for p in pieces:
             n = len(p.ids)
             crc = zlib.crc32(np.ascontiguousarray(p.ids, "<u4"))
-            self.rows.append((p.doc_id, p.start, n, crc, p.total, self.next_id, offset, padded, tier, group))
+            rows.append((p.doc_id, p.start, n, crc, p.total, self.next_id, offset, padded, tier))
             offset += n
         self.next_id += 1
+        self.waiting.setdefault(padded, []).append((sum(len(p.ids) ** 2 for p in pieces), rows))
+        self.n_waiting += 1
+        if self.n_waiting >= 2 * POOL:
+            self.deal_groups()
 
     def batch(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
