@@ -36,7 +36,9 @@ CALIBRATION = 1
 #: Words are runs of letters, digits and bytes beyond ASCII.
 BREAKS = np.ones(256, bool)
 BREAKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-START, ALONE = np.uint64(1), np.uint64(0)
+START = np.uint64(1)
+#: Marks in place of a bigram's first word: a word alone, a context's bigrams, and the words of all texts.
+ALONE, CONTEXT, TOTAL = np.uint64(0), np.uint64(2), np.uint64(3)
 #: z levels that are tried, and the least number of texts for an expression to be tested.
 LEVELS = (2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0, 10.0)
 #: Orders that are tried: class counts of words alone, or of bigrams too.
@@ -80,11 +82,27 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def count_expressions(docs: DataFrame) -> DataFrame:
-    """(v, w, tox, ordinary): in how many texts of each class w follows v, or (v is ALONE) occurs.
+    """(v, w, tox, ordinary): in how many texts of each class w follows v, or occurs (v is ALONE).
 
-    ``docs`` has text and toxic.
+    Rows of CONTEXT sum up the bigrams that w begins, and that of TOTAL the distinct words of all
+    texts. Expressions of fewer than LEAST_TEXTS texts are only in those sums. ``docs`` has text and
+    toxic.
     """
 
+    def rows(v: np.ndarray, w: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        _, first, inverse = np.unique(_pair(v, w), return_index=True, return_inverse=True)
+        total = np.bincount(inverse, minlength=len(first))
+        tox = np.bincount(inverse, weights=label, minlength=len(first)).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(v[first].view(np.int64)),
+                pa.array(w[first].view(np.int64)),
+                pa.array(tox),
+                pa.array((total - tox).astype(np.int64)),
+            ],
+            names=["v", "w", "tox", "ordinary"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
@@ -92,26 +110,18 @@ def count_expressions(docs: DataFrame) -> DataFrame:
                 v, w, bounds = _bigrams(buf, off)
                 text = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(bounds))
                 for before in (v, np.full(len(w), ALONE)):
-                    key = _pair(before, w)
                     # once for each text, then over the texts of the chunk
-                    _, once = np.unique(_pair(key, text), return_index=True)
-                    _, first, inverse = np.unique(key[once], return_index=True, return_inverse=True)
+                    _, once = np.unique(_pair(_pair(before, w), text), return_index=True)
                     label = toxic[lo:hi][text[once].astype(np.int64)]
-                    total = np.bincount(inverse, minlength=len(first))
-                    tox = np.bincount(inverse, weights=label, minlength=len(first)).astype(np.int64)
-                    rows = once[first]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(before[rows].view(np.int64)),
-                            pa.array(w[rows].view(np.int64)),
-                            pa.array(tox),
-                            pa.array((total - tox).astype(np.int64)),
-                        ],
-                        names=["v", "w", "tox", "ordinary"],
-                    )
+                    yield rows(before[once], w[once], label)
+                    if before is v:
+                        yield rows(np.full(len(once), CONTEXT), v[once], label)
+                    else:
+                        yield rows(np.full(len(once), TOTAL), np.full(len(once), ALONE), label)
 
     counted = docs.select("text", "toxic").mapInArrow(run, "v bigint, w bigint, tox bigint, ordinary bigint")
-    return counted.groupBy("v", "w").agg(F.sum("tox").alias("tox"), F.sum("ordinary").alias("ordinary"))
+    counted = counted.groupBy("v", "w").agg(F.sum("tox").alias("tox"), F.sum("ordinary").alias("ordinary"))
+    return counted.where((F.col("tox") + F.col("ordinary") >= LEAST_TEXTS) | (F.col("v") == int(TOTAL)))
 
 
 class Table:
@@ -221,9 +231,17 @@ def shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[dict[int, int], f
         )
 
     seen = docs.select("text").mapInArrow(run, "w bigint, v bigint, rank bigint")
-    seen = staged(seen.groupBy("w", "v").agg(F.max("rank").alias("rank")), "toxic-shared")
-    counts = {r["w"]: r["count"] for r in seen.where("w is not null").groupBy("w").count().toLocalIterator()}
-    top = seen.where("w is null").agg(F.sum(F.expr("pow(2.0, -rank)")).alias("s"), F.sum((F.col("rank") == 0).cast("int")).alias("z")).first()
+    seen = seen.groupBy("w", "v").agg(F.max("rank").alias("rank")).groupBy("w").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.expr("pow(2.0, -rank)")).alias("s"),
+        F.sum((F.col("rank") == 0).cast("int")).alias("z"),
+    )
+    counts, top = {}, {"s": None}
+    for r in seen.toLocalIterator():
+        if r["w"] is None:  # the registers
+            top = r
+        else:
+            counts[r["w"]] = r["n"]
     if top["s"] is None:
         return counts, 1.0
     estimate = 0.7213 / (1 + 1.079 / REGISTERS) * REGISTERS**2 / top["s"]
@@ -240,18 +258,19 @@ def fit_models(docs: DataFrame, labelled: DataFrame) -> list[Model]:
     differ = (F.col("tox") + F.col("ordinary") >= LEAST_TEXTS) & (
         _z(F.col("tox"), F.col("ordinary"), n_t, n_o) >= min(LEVELS) ** 2
     )
-    found = grams.where(differ).orderBy("v", "w").toArrow().to_pandas()
+    special = [int(CONTEXT), int(TOTAL)]
+    found = grams.where(differ & ~F.col("v").isin(special)).orderBy("v", "w").toArrow().to_pandas()
     alone = found[found.v == int(ALONE)]
     both = found[found.v != int(ALONE)]
-    size = grams.where(F.col("v") == int(ALONE)).agg(F.sum("tox").alias("t"), F.sum("ordinary").alias("o")).first()
-    size = {"tox": max(1, size["t"] or 0), "ordinary": max(1, size["o"] or 0)}
-    contexts = grams.join(
-        F.broadcast(grams.where(differ & (F.col("v") != int(ALONE))).select("v").distinct()), "v", "left_semi"
+    total = grams.where(F.col("v") == int(TOTAL)).first()
+    size = {c: max(1, total[c] if total else 0) for c in ("tox", "ordinary")}
+    # a significant bigram is of LEAST_TEXTS texts, and so its context is among the rows that were kept
+    contexts = grams.where(F.col("v") == int(CONTEXT)).join(
+        F.broadcast(grams.where(differ & ~F.col("v").isin([int(ALONE), *special])).select(F.col("v").alias("c")).distinct()),
+        F.col("w") == F.col("c"),
+        "left_semi",
     )
-    after = {
-        r["v"]: (r["t"], r["o"])
-        for r in contexts.groupBy("v").agg(F.sum("tox").alias("t"), F.sum("ordinary").alias("o")).toLocalIterator()
-    }
+    after = {r["w"]: (r["tox"], r["ordinary"]) for r in contexts.toLocalIterator()}
     words = np.unique(np.concatenate([alone.w.to_numpy(), both.w.to_numpy(), both.v.to_numpy()]).astype(np.int64))
     before, types = shared_counts(docs, words.view(np.uint64))
     shared = np.array([before.get(int(w), 0) + 1 for w in words], np.float64) / (types + len(words) + 1)
