@@ -17,10 +17,11 @@ group of c prefix tokens lets k - 1 of them go unanswered, so the prefix is exte
 exceeds the allowance: then two similar sets share a signature for certain (see ``signatures``).
 
 Linking. All that meet in a signature are compared with the signature's smallest member, and linked
-if the exact intersection of their sets says so. Signatures whose members are not all connected by
-then are compared further: in a second round with their largest member, and then pair by pair between
-the components that are left. A group of copies costs two comparisons for each member and signature
-at the most, never all pairs.
+if the exact intersection of their sets says so: pairs in proportion to the members. Signatures whose
+members are not all connected by then are open. What open signatures connect is a family; the largest
+component of each is compared with the others, and these among themselves, block against block:
+intersections of whole blocks are one matrix product, a pair is never a row, and of the links only
+those come back that connect something.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ BAND = 1.3
 GROUP_TOKENS = 3
 BLOCK_TOKENS = 2_000_000
 BLOCK_SETS = 50_000
+#: Sets and tokens of one side of a comparison of blocks.
+PAIR_SETS, PAIR_TOKENS = 512, 1_000_000
 
 #: A set with fewer tokens is only similar to an equal one, and that is its class.
 LEAST = 5
@@ -340,16 +343,11 @@ def _near_sizes(x: str, y: str):
     return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y)) & (F.col("a") != F.col("b"))
 
 
-def _with_hub(signed: DataFrame, hub) -> DataFrame:
-    """Pairs of each signature's member and its hub, sizes permitting, once each."""
-    hubs = signed.groupBy("sig").agg(hub(F.struct("cid", "n")).alias("hub"))
-    met = signed.join(hubs, "sig").select(F.col("hub.cid").alias("x"), F.col("hub.n").alias("nx"), F.col("cid").alias("y"), "n")
-    return (
-        met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "nx", "n")
-        .where(_near_sizes("nx", "n"))
-        .select("a", "b")
-        .distinct()
-    )
+def _with_hub(signed: DataFrame) -> DataFrame:
+    """Pairs of each signature's member and its smallest one, sizes permitting, once each."""
+    hubs = signed.groupBy("sig").agg(F.min(F.struct("cid", "n")).alias("hub"))
+    met = signed.join(hubs, "sig").select(F.col("hub.cid").alias("a"), F.col("hub.n").alias("nx"), F.col("cid").alias("b"), "n")
+    return met.where(_near_sizes("nx", "n")).select("a", "b").distinct()
 
 
 def _still_open(signed: DataFrame, members: DataFrame) -> DataFrame:
@@ -362,6 +360,104 @@ def _still_open(signed: DataFrame, members: DataFrame) -> DataFrame:
     return staged(known.join(several.select("sig"), "sig"), "jaccard-open")
 
 
+def _dealt(left: DataFrame) -> DataFrame:
+    """(cid, component, key, side): where each set of an open family is compared.
+
+    A family is what open signatures connect. Its largest component needs no comparisons within; all
+    others are compared with each other and with it. Both parts are split by hash into blocks of
+    bounded size, and every pair of blocks that matters is a group of its own.
+    """
+    hubs = left.groupBy("sig").agg(F.min("cid").alias("a"))
+    family = components(left.join(hubs, "sig").select("a", F.col("cid").alias("b")).distinct())
+    members = left.groupBy("cid").agg(F.min("n").alias("n"), F.min("component").alias("component"))
+    members = members.join(family.select(F.col("id").alias("cid"), F.col("component").alias("family")), "cid")
+    members = staged(members, "jaccard-members")
+    parts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    parts = staged(parts, "jaccard-parts")
+    size = lambda c, t: F.ceil(F.greatest(F.col(c) / PAIR_SETS, F.col(t) / PAIR_TOKENS)).cast("int")
+    families = parts.groupBy("family").agg(
+        F.max(F.struct("c", "t", "component")).alias("main"), F.sum("c").alias("c"), F.sum("t").alias("t")
+    )
+    families = families.select(
+        "family",
+        F.col("main.component").alias("main"),
+        size("main.c", "main.t").alias("main_blocks"),
+        (F.col("c") - F.col("main.c")).alias("rest"),
+        (F.col("t") - F.col("main.t")).alias("rest_tokens"),
+    ).withColumn("rest_blocks", size("rest", "rest_tokens"))
+    placed = members.join(families, "family").withColumn("in_main", F.col("component") == F.col("main"))
+    blocks = F.when(F.col("in_main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), blocks.cast("long")).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    where = lambda kind, i, j, side: F.struct(
+        F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side")
+    )
+    own = F.col("block")
+    among = F.transform(
+        upto("rest_blocks"), lambda j: where(0, F.least(own, j), F.greatest(own, j), 0)
+    )
+    return placed.select(
+        "cid",
+        "component",
+        "family",
+        F.explode(
+            F.when(F.col("in_main"), F.transform(upto("rest_blocks"), lambda i: where(1, i, own, 1))).otherwise(
+                F.concat(among, F.transform(upto("main_blocks"), lambda j: where(1, own, j, 0)))
+            )
+        ).alias("at"),
+    ).select("cid", "component", "family", "at.kind", "at.i", "at.j", "at.side")
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of every set of ``a`` with every set of ``b`` (distinct sorted tokens)."""
+    fa, fb = np.concatenate(a), np.concatenate(b)
+    ra, rb = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+    both = np.intersect1d(fa, fb)
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, len(both), 4096):
+        part = both[lo : lo + 4096]
+        tables = []
+        for flat, row, n in ((fa, ra, len(a)), (fb, rb, len(b))):
+            at = np.searchsorted(part, flat)
+            at[at == len(part)] = 0
+            hit = part[at] == flat
+            table = np.zeros((n, len(part)), np.float32)
+            table[row[hit], at[hit]] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out.astype(np.int64)
+
+
+def _compare_blocks(group: pa.Table) -> pa.Table:
+    """Links between components, no more than connect what the group can connect."""
+    side = group["side"].to_numpy()
+    cid, n, component = (group[c].to_numpy().astype(np.int64) for c in ("cid", "n", "component"))
+    sets = [np.frombuffer(t, np.uint64) for t in group["tokens"].to_pylist()]
+    left = np.flatnonzero(side == 0)
+    right = left if group["kind"][0].as_py() == 0 else np.flatnonzero(side == 1)
+    found: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        both = overlaps([sets[k] for k in left], [sets[k] for k in right])
+        near = 100 * both >= PERCENT * (n[left][:, None] + n[right][None, :] - both)
+        near &= component[left][:, None] != component[right][None, :]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in zip(*np.nonzero(near), strict=True):
+            i, j = int(left[x]), int(right[y])
+            p, q = root(int(component[i])), root(int(component[j]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                found.append((min(int(cid[i]), int(cid[j])), max(int(cid[i]), int(cid[j]))))
+    a, b = zip(*found, strict=True) if found else ([], [])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that are done; staged tables hold what is needed."""
     gc.collect()
@@ -375,18 +471,12 @@ def link_classes(sets: DataFrame) -> DataFrame:
     crowded = signed.groupBy("sig").count().where("count > 1").select("sig")
     signed = staged(signed.join(crowded, "sig"), "jaccard-met")
     release(spark)
-    links = staged(_verified(_with_hub(signed, F.min), sets), "jaccard-links1")
+    links = staged(_verified(_with_hub(signed), sets), "jaccard-links1")
     release(spark)
-    left = _still_open(signed, components(links))
-    tried = _with_hub(left.drop("component"), F.max)
-    more = staged(_verified(tried, sets), "jaccard-links2")
-    links = staged(links.unionByName(more), "jaccard-links12")
-    left = _still_open(left.drop("component"), components(links))
-    # what is left: every pair of a signature's members whose components differ
-    x = left.select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = left.select("sig", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "sig").where("a < b and ca <> cb").where(_near_sizes("na", "nb")).select("a", "b").distinct()
-    return links.unionByName(staged(_verified(rest, sets), "jaccard-links3"))
+    dealt = staged(_dealt(_still_open(signed, components(links))), "jaccard-dealt")
+    rows = dealt.join(sets.select("cid", "n", "tokens"), "cid")
+    more = rows.groupBy("family", "kind", "i", "j").applyInArrow(_compare_blocks, "a bigint, b bigint")
+    return links.unionByName(staged(more, "jaccard-links2"))
 
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
