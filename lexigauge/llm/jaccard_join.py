@@ -55,8 +55,8 @@ BLOCK_SETS = 50_000
 #: Sets and tokens of one side of a comparison of blocks.
 PAIR_SETS, PAIR_TOKENS = 512, 1_000_000
 
-#: A set with fewer tokens is only similar to an equal one, and that is its class.
-LEAST = 5
+#: A set with fewer tokens is only similar to an equal one, and that is its class (3 of 4 are too few).
+LEAST = 4
 
 
 def _bytes7(tokens: np.ndarray) -> bytes:
