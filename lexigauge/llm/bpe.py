@@ -19,7 +19,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,7 +29,8 @@ from .common import shuffle_partitions, staged
 
 #: One regular expression that takes a whole piece: pieces are cut before they come here.
 WHOLE = r"(?s).+"
-BLOCK_BYTES = 32 << 20
+#: Text of one block: its pre-tokens and word list are a task's memory.
+BLOCK_BYTES = 8 << 20
 
 
 def ranks_of(data: bytes) -> dict[bytes, int]:
@@ -86,84 +86,102 @@ def decode(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> bytes:
 
 # ---------------------------------------------------------------- the three steps of encoding
 
-STEP1 = "kind int, block string, bucket int, doc_ids array<bigint>, counts array<int>, codes binary, lengths binary, data binary"
+SEQUENCES = "block string, doc_ids array<bigint>, counts array<int>, codes binary"
+WORD_LISTS = "block string, bucket int, codes binary, lengths binary, data binary"
+
+
+def _packed(data: bytes) -> bytes:
+    """Compressed here, so that the staged table and every shuffle carry the small form."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """32-bit integers by byte plane: the high bytes are runs that any codec shortens."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """32-bit integers by byte plane, compressed: the high bytes are runs."""
+    return _packed(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    n = len(data) // 4
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, n).T).reshape(-1).view("<u4")
+    raw = np.frombuffer(_unpacked(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view("<u4")
 
 
 def _bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
     """A bucket for each word, by its bytes alone."""
-    off = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    buf = np.frombuffer(words.buffers()[2], np.uint8)
+    off, buf = _spans(words)
     return (textvec.span_hashes(buf, off[:-1], off[1:], textvec.IDENTITY) % np.uint64(buckets)).astype(np.int32)
 
 
-def _flat(words: pa.Array) -> tuple[bytes, bytes]:
-    """(lengths, bytes) of an array of words."""
-    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype("<u4")
-    return _planes(lengths), b"".join(words.to_pylist())
+def _spans(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    off = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return off, np.frombuffer(words.buffers()[2], np.uint8)
 
 
 def _words_of(lengths: bytes, data: bytes) -> pa.Array:
     bounds = np.concatenate([[0], np.cumsum(_from_planes(lengths), dtype=np.int64)])
-    return textvec.binary_array(np.frombuffer(data, np.uint8), bounds)
+    return textvec.binary_array(np.frombuffer(_unpacked(data), np.uint8), bounds)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int):
+    """(name, ids, pre-tokens as an Arrow dictionary, their number by text) of each block.
 
+    A block is named by what it holds, so every pass and every rerun of a task names it alike.
+    """
+    for batch in batches:
+        for lo, hi, buf, off in textvec.chunks(batch.column("text"), block_bytes):
+            bounds = textvec.pretokens(buf, off)
+            coded = textvec.binary_array(buf, bounds).dictionary_encode()
+            counts = np.diff(np.searchsorted(bounds[:-1], off)).astype(np.int32)
+            ids = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
+            name = xxhash.xxh3_128()
+            name.update(buf.tobytes())
+            name.update(off.tobytes())
+            name.update(str(ids).encode())
+            yield name.hexdigest(), ids, coded, counts
+
+
+def _cut_sequences(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, coded, counts in _blocks(batches, block_bytes):
+            codes = _planes(coded.indices.to_numpy().astype(np.uint32))
+            yield _record([(block, ids, counts.tolist(), codes)], _SEQUENCES)
+
+    return run
 
-def _cut_blocks(buckets: int, block_bytes: int):
+
+def _cut_words(buckets: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column("text")
-            for lo, hi, buf, off in textvec.chunks(text, block_bytes):
-                bounds = textvec.pretokens(buf, off)
-                coded = textvec.binary_array(buf, bounds).dictionary_encode()
-                counts = np.diff(np.searchsorted(bounds[:-1], off)).astype(np.int32)
-                codes = coded.indices.to_numpy().astype(np.uint32)
-                words = coded.dictionary
-                ids = batch.column("doc_id").slice(lo, hi - lo)
-                # a block is named by what it holds: a task that runs again makes the same name
-                name = xxhash.xxh3_128()
-                name.update(buf.tobytes())
-                name.update(off.tobytes())
-                name.update(str(ids.to_pylist()).encode())
-                block = name.hexdigest()
-                rows = [(0, block, None, ids.to_pylist(), counts.tolist(), _planes(codes), None, None)]
-                if len(words):
-                    bucket = _bucket_of(words, buckets)
-                    order = np.argsort(bucket, kind="stable")
-                    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                    for b in range(buckets):
-                        own = order[cuts[b] : cuts[b + 1]]
-                        if len(own):
-                            lengths, data = _flat(words.take(pa.array(own)))
-                            rows.append((1, block, b, None, None, _planes(own), lengths, data))
-                yield _record(rows)
+        for block, _, coded, _ in _blocks(batches, block_bytes):
+            words = coded.dictionary
+            if not len(words):
+                continue
+            bucket = _bucket_of(words, buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            starts, flat = _spans(words)
+            sizes = np.diff(starts)
+            for b in range(buckets):
+                own = order[cuts[b] : cuts[b + 1]]
+                if len(own):
+                    data = _packed(flat[textvec.positions(starts[own], sizes[own])].tobytes())
+                    yield _record([(block, b, _planes(own), _planes(sizes[own]), data)], _WORDS)
 
     return run
 
 
-_SCHEMA1 = pa.schema(
-    [
-        ("kind", pa.int32()),
-        ("block", pa.string()),
-        ("bucket", pa.int32()),
-        ("doc_ids", pa.list_(pa.int64())),
-        ("counts", pa.list_(pa.int32())),
-        ("codes", pa.binary()),
-        ("lengths", pa.binary()),
-        ("data", pa.binary()),
-    ]
+_SEQUENCES = pa.schema(
+    [("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.binary())]
+)
+_WORDS = pa.schema(
+    [("block", pa.string()), ("bucket", pa.int32()), ("codes", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())]
 )
 
 
-def _record(rows: list[tuple], schema: pa.Schema = _SCHEMA1) -> pa.RecordBatch:
+def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
     )
@@ -213,11 +231,15 @@ def _reassemble(left: pa.Table, right: pa.Table) -> tuple[list, np.ndarray, np.n
     size_of[own] = sizes
     begin = np.zeros(len(size_of), np.int64)
     begin[own] = np.cumsum(sizes, dtype=np.int64) - sizes
+    known = np.zeros(len(size_of), bool)
+    known[own] = True
     doc_ids, flat, bounds = [], [], [0]
     for docs, counts, codes in zip(
         left["doc_ids"].to_pylist(), left["counts"].to_pylist(), left["codes"].to_pylist(), strict=True
     ):
         codes = _from_planes(codes)
+        if len(codes) and (int(codes.max()) >= len(known) or not known[codes].all()):
+            raise ValueError("a block's words are missing: the texts were not dealt out alike twice")
         n = size_of[codes]
         flat.append(ids[textvec.positions(begin[codes], n)])
         ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
@@ -226,24 +248,28 @@ def _reassemble(left: pa.Table, right: pa.Table) -> tuple[list, np.ndarray, np.n
     return doc_ids, np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.array(bounds)
 
 
-def encode_blocks(docs: DataFrame, vocabulary: bytes, kind: str = "ranks", block_bytes: int = BLOCK_BYTES):
+def encode_blocks(docs: DataFrame, vocabulary: bytes, kind: str = "ranks", block_bytes: int = BLOCK_BYTES, stable: bool = False):
     """(sequences, encoded words), to be cogrouped by ``block``.
 
-    The vocabulary travels as the content of its file, whose size is fixed; executors read no path.
+    The texts are read twice, once for each, instead of keeping the cut texts on disk; so ``docs`` must
+    give the same partitions both times. A scan of files does (say so with ``stable``); anything else is
+    written first. Blocks that don't meet their words raise. The vocabulary travels as the content of
+    its file, whose size is fixed; executors read no path.
     """
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    rows = rows if stable else staged(rows, "bpe-texts")
     buckets = shuffle_partitions(docs.sparkSession)
-    cut = docs.select("doc_id", "text").mapInArrow(_cut_blocks(buckets, block_bytes), STEP1)
-    cut = staged(cut, "bpe-blocks", ["kind"])
     encoded = (
-        cut.where("kind = 1")
-        .select("block", "bucket", "codes", "lengths", "data")
+        rows.mapInArrow(_cut_words(buckets, block_bytes), WORD_LISTS)
         .groupBy("bucket")
         .applyInArrow(_encode_bucket(vocabulary, kind), "block string, codes binary, lengths binary, data binary")
     )
-    return cut.where("kind = 0").select("block", "doc_ids", "counts", "codes"), encoded
+    return rows.mapInArrow(_cut_sequences(block_bytes), SEQUENCES), encoded
 
 
-def encode(docs: DataFrame, vocabulary: bytes, kind: str = "ranks", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: bytes, kind: str = "ranks", block_bytes: int = BLOCK_BYTES, stable: bool = False
+) -> DataFrame:
     """doc_id and ``ids`` (array of token ids) for each row of ``docs`` (doc_id, text)."""
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -251,14 +277,16 @@ def encode(docs: DataFrame, vocabulary: bytes, kind: str = "ranks", block_bytes:
         ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.astype(np.int32)))
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids})
 
-    return _by_block(*encode_blocks(docs, vocabulary, kind, block_bytes), join, "doc_id bigint, ids array<int>")
+    return _by_block(*encode_blocks(docs, vocabulary, kind, block_bytes, stable), join, "doc_id bigint, ids array<int>")
 
 
 def _by_block(sequences: DataFrame, encoded: DataFrame, function, schema: str) -> DataFrame:
     return sequences.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(function, schema)
 
 
-def round_trip(docs: DataFrame, vocabulary: bytes, kind: str = "ranks", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def round_trip(
+    docs: DataFrame, vocabulary: bytes, kind: str = "ranks", block_bytes: int = BLOCK_BYTES, stable: bool = False
+) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row of ``docs`` (doc_id, text).
 
     The ids are digested as little-endian 32-bit integers; the decoded bytes come from the ids
@@ -285,7 +313,7 @@ def round_trip(docs: DataFrame, vocabulary: bytes, kind: str = "ranks", block_by
         return pa.Table.from_batches([_record(rows, _SCHEMA3)] if rows else [], _SCHEMA3)
 
     return _by_block(
-        *encode_blocks(docs, vocabulary, kind, block_bytes),
+        *encode_blocks(docs, vocabulary, kind, block_bytes, stable),
         join,
         "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     )
