@@ -46,6 +46,8 @@ ORDERS = (2, 1)
 LEAST_TEXTS = 3
 DISCOUNT = 0.75
 REGISTERS = 4096
+#: Bigrams that a task holds to drop repeated ones before they are shuffled.
+HELD_PAIRS = 4_000_000
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -214,18 +216,38 @@ def shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[dict[int, int], f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, registers = Table(table.value), np.zeros(REGISTERS, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def distinct() -> list[tuple[np.ndarray, np.ndarray]]:
+            w, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            first = np.unique(_pair(v, w), return_index=True)[1]
+            return [(w[first], v[first])]
+
+        def rows() -> pa.RecordBatch:
+            w, v = held[0]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(w.view(np.int64)), pa.array(v.view(np.int64)), pa.nulls(len(w), pa.int64())], names=["w", "v", "rank"]
+            )
+
         for batch in batches:
             for _, _, buf, off in textvec.chunks(batch.column("text"), 8 << 20):
                 v, w, _ = _bigrams(buf, off)
                 key = _pair(v, w)
                 rank = 53 - np.frexp((key & np.uint64((1 << 52) - 1)).astype(np.float64))[1]
                 np.maximum.at(registers, (key >> np.uint64(52)).astype(np.int64), rank)
-                mine = np.flatnonzero(wanted.find(w) >= 0)
-                mine = mine[np.unique(key[mine], return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w[mine].view(np.int64)), pa.array(v[mine].view(np.int64)), pa.nulls(len(mine), pa.int64())],
-                    names=["w", "v", "rank"],
-                )
+                mine = wanted.find(w) >= 0
+                held.append((w[mine], v[mine]))
+                size += int(mine.sum())
+                if size >= HELD_PAIRS:
+                    held = distinct()
+                    if len(held[0][0]) >= HELD_PAIRS // 2:
+                        yield rows()
+                        held = []
+                    size = len(held[0][0]) if held else 0
+        if held:
+            held = distinct()
+            yield rows()
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(REGISTERS, pa.int64()), pa.array(np.arange(REGISTERS)), pa.array(registers)], names=["w", "v", "rank"]
         )
@@ -272,7 +294,9 @@ def fit_models(docs: DataFrame, labelled: DataFrame) -> list[Model]:
     )
     after = {r["w"]: (r["tox"], r["ordinary"]) for r in contexts.toLocalIterator()}
     words = np.unique(np.concatenate([alone.w.to_numpy(), both.w.to_numpy(), both.v.to_numpy()]).astype(np.int64))
-    before, types = shared_counts(docs, words.view(np.uint64))
+    # contexts alone need no probability of their own
+    ends = np.unique(np.concatenate([alone.w.to_numpy(), both.w.to_numpy()]).astype(np.int64))
+    before, types = shared_counts(docs, ends.view(np.uint64))
     shared = np.array([before.get(int(w), 0) + 1 for w in words], np.float64) / (types + len(words) + 1)
     models = []
     for order, level in ((o, z) for o in ORDERS for z in LEVELS):
