@@ -95,8 +95,9 @@ diff AS (
           FROM (SELECT *, {r} AS r, {h} AS h FROM {source})))"""
 
 
-def _chrf(beta: float) -> str:
+def _chrf(beta: float, exact: bool = False) -> str:
     b2 = beta * beta
+    score = f"avg(CASE WHEN none THEN 1 WHEN {b2} * p + q > 0 THEN (1 + {b2}) * p * q / ({b2} * p + q) ELSE 0 END)"
     return f"""
 WITH {RECORDS},
 texts AS (
@@ -114,7 +115,7 @@ parts AS (
     SELECT s.sample_id, s.n, coalesce(o, 0) / greatest(1, coalesce(h, 0)) AS p, coalesce(o, 0) / greatest(1, coalesce(r, 0)) AS q,
            coalesce(r, 0) + coalesce(h, 0) = 0 AS none
     FROM (SELECT DISTINCT sample_id, n FROM sizes) s LEFT JOIN each USING (sample_id, n))
-SELECT sample_id, round(avg(CASE WHEN none THEN 1 WHEN {b2} * p + q > 0 THEN (1 + {b2}) * p * q / ({b2} * p + q) ELSE 0 END), 6) AS chrf
+SELECT sample_id, {score if exact else f"round({score}, 6)"} AS chrf
 FROM parts GROUP BY sample_id"""
 
 
@@ -206,6 +207,7 @@ def _percent(*names: str) -> str:
     return ", ".join(f"round({_PERCENT[n]}, 6) AS {n}" for n in names or _PERCENT)
 
 
+_WITH_CHRF = f"{SCORED}, c AS ({_chrf(1.0, exact=True)}), full_scored AS (SELECT * FROM scored JOIN c USING (sample_id))"
 _CHARS = "(SELECT unnest(string_split(text, '')) AS char FROM documents)"
 _SLICES = ("language", "layout_type", "degradation_profile", "role")
 _DIFF_N = _diff("ref_n", "hyp_n", "normed")
@@ -223,6 +225,8 @@ SQL = {
     "metrics_overall": f"WITH {SCORED} SELECT {_columns()} FROM scored",
     "metrics_grouping_sets": f"""WITH {SCORED} SELECT 'overall' AS slice, 'all' AS value, {_columns()} FROM scored"""
     + "".join(f" UNION ALL SELECT '{s}', {s}, {_columns()} FROM scored GROUP BY {s}" for s in _SLICES),
+    "metrics_chrf": f"""WITH {_WITH_CHRF} SELECT 'overall' AS slice, 'all' AS value, {_columns()}, round(avg(chrf), 6) AS val_rec_chrf FROM full_scored"""
+    + "".join(f" UNION ALL SELECT '{s}', {s}, {_columns()}, round(avg(chrf), 6) FROM full_scored GROUP BY {s}" for s in _SLICES),
     "norm_text": f"SELECT doc_id, md5({_norm('text')}) AS digest, length({_norm('text')}) AS n_norm FROM documents",
     "length_buckets": f"""
         SELECT CASE WHEN n < 32 THEN 'short' WHEN n < 128 THEN 'medium' WHEN n < 512 THEN 'long' ELSE 'very_long' END AS bucket,
@@ -376,6 +380,10 @@ SQL = {
     "degradation_table": f"""WITH {SCORED} SELECT degradation_profile, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share,
         round(avg(cer) * 100 - 4.51, 6) AS cer_delta_pp, {_percent()} FROM scored GROUP BY degradation_profile""",
     "text_length_table": f"WITH {SCORED} SELECT bucket, count(*) AS n, {_percent('mean_ref_length', 'cer', 'sr', 'mean_length_ratio')} FROM scored GROUP BY bucket",
+    "degradation_chrf": f"""WITH {_WITH_CHRF} SELECT degradation_profile, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share,
+        round(avg(cer) * 100 - 4.51, 6) AS cer_delta_pp, {_percent()}, round(avg(chrf), 6) AS chrf FROM full_scored GROUP BY degradation_profile""",
+    "text_length_chrf": f"""WITH {_WITH_CHRF} SELECT bucket, count(*) AS n, {_percent('mean_ref_length', 'cer', 'sr', 'mean_length_ratio')},
+        round(avg(chrf), 6) AS chrf FROM full_scored GROUP BY bucket""",
     "join_verify": f"""WITH {_MANIFEST}, k AS (SELECT sample_id, count(*) AS c FROM manifest GROUP BY ALL)
         SELECT count(*) AS predictions, count(c) AS matched, count(*) - count(c) AS unmatched, (SELECT sum(c - 1)::BIGINT FROM k) AS duplicate_keys
         FROM rec LEFT JOIN k USING (sample_id)""",

@@ -62,6 +62,11 @@ def metrics_grouping_sets(spark, sf_dir):
     return evaluate.by_all_slices(_scored(spark, sf_dir), SLICES).drop("val_rec_latency_ms_per_crop")
 
 
+@query
+def metrics_chrf(spark, sf_dir):
+    return evaluate.by_all_slices(_scored(spark, sf_dir, chrf=True), SLICES).drop("val_rec_latency_ms_per_crop")
+
+
 @query
 def norm_text(spark, sf_dir):
     n = text.normalize("text")
@@ -176,7 +181,7 @@ def page_error_types(spark, sf_dir):
 
 @query
 def gate(spark, sf_dir):
-    rows = evaluate.by_slice(_scored(spark, sf_dir), "language")
+    rows = evaluate.by_slice(_scored(spark, sf_dir, chrf=True), "language")
     return evaluate.gate(rows).select("language", "status", "promote", F.array_join("reasons", "; ").alias("reasons"))
 
 
@@ -307,6 +312,17 @@ def text_length_table(spark, sf_dir):
     return evaluate.percent_table(_scored(spark, sf_dir), "bucket").select("bucket", "n", "mean_ref_length", "cer", "sr", "mean_length_ratio")
 
 
+@query
+def degradation_chrf(spark, sf_dir):
+    return evaluate.percent_table(_scored(spark, sf_dir, chrf=True), "degradation_profile", baseline_cer=4.51)
+
+
+@query
+def text_length_chrf(spark, sf_dir):
+    rows = evaluate.percent_table(_scored(spark, sf_dir, chrf=True), "bucket")
+    return rows.select("bucket", "n", "mean_ref_length", "cer", "sr", "mean_length_ratio", "chrf")
+
+
 def _manifest(spark, sf_dir):
     """Two rows per line of user turns, the later one without a profile on every fifth page."""
     recs = R.records(spark, sf_dir).where("role = 'user'")
