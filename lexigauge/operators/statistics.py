@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import column
+from ..functions.text import column, words
 from .windows import numbered, running_total
 
 #: Fixed value: the normal quantile of a 95 % interval.
@@ -26,17 +26,32 @@ def wilson(k: Column | str, n: Column | str) -> Column:
 
 
 def page_partials(metrics: DataFrame, page: str = "source_page_id") -> DataFrame:
-    """Sums per page from which every resampled statistic can be formed."""
-    return metrics.groupBy(F.col(page).alias("page")).agg(
+    """Sums per page from which every resampled statistic can be formed; chrF's where ``metrics`` has it."""
+    n_words = F.greatest(F.lit(1), F.size(words("ref_n")))
+    sums = [
         F.count(F.lit(1)).alias("crops"),
         F.sum("edits").alias("cer_num"),
         F.sum(F.greatest(F.lit(1), F.col("ref_len"))).alias("cer_den"),
+        F.sum(F.col("wer") * n_words).alias("wer_num"),
+        F.sum(n_words).alias("wer_den"),
         F.sum("exact_match").alias("em_sum"),
-    )
+    ]
+    if "chrf" in metrics.columns:
+        sums.append(F.sum("chrf").alias("chrf_sum"))
+    return metrics.groupBy(F.col(page).alias("page")).agg(*sums)
+
+
+#: What is resampled, as (numerator, denominator) of the partials.
+RESAMPLED = {
+    "cer": ("cer_num", "cer_den"),
+    "wer": ("wer_num", "wer_den"),
+    "chrf": ("chrf_sum", "crops"),
+    "exact_match": ("em_sum", "crops"),
+}
 
 
 def bootstrap(partials: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """(metric, mean, median, std, lo, hi) over resamples of whole pages.
+    """(metric, mean, median, std, lo, hi) over resamples of whole pages, for what ``partials`` has sums of.
 
     Replicate b takes as its i-th page the one numbered md5(seed|b|i) modulo the pages, in page order;
     so any engine draws the same. Draws are counted before they meet the pages.
@@ -51,13 +66,16 @@ def bootstrap(partials: DataFrame, replicates: int = 1000, seed: int = 42) -> Da
     drawn = draws.select("b", (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % max(1, total)).alias("idx"))
     drawn = drawn.groupBy("b", "idx").agg(F.count(F.lit(1)).alias("times"))
     sums = drawn.join(pages, "idx").groupBy("b").agg(
-        *[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("crops", "cer_num", "cer_den", "em_sum")]
+        *[F.sum(F.col(c) * F.col("times")).alias(c) for c in partials.columns if c != "page"]
     )
     each = sums.select(
         F.explode(
             F.array(
-                F.struct(F.lit("cer").alias("metric"), (F.col("cer_num") / F.col("cer_den")).alias("v")),
-                F.struct(F.lit("exact_match").alias("metric"), (F.col("em_sum") / F.col("crops")).alias("v")),
+                *[
+                    F.struct(F.lit(name).alias("metric"), (F.col(num) / F.col(den)).alias("v"))
+                    for name, (num, den) in RESAMPLED.items()
+                    if num in partials.columns
+                ]
             )
         ).alias("e")
     ).select("e.*")

@@ -364,6 +364,23 @@ SQL = {
         long AS (SELECT 'cer' AS metric, cer AS v FROM each UNION ALL SELECT 'exact_match', em FROM each)
         SELECT metric, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS std,
                round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM long GROUP BY metric""",
+    "page_partials_all": f"""WITH {_WITH_CHRF} SELECT source_page_id AS page, count(*) AS crops, sum(edits)::BIGINT AS cer_num,
+        sum(greatest(1, ref_len))::BIGINT AS cer_den, round(sum(wer * greatest(1, len(rw))), 6) AS wer_num,
+        sum(greatest(1, len(rw)))::BIGINT AS wer_den, sum(exact_match) AS em_sum, round(sum(chrf), 6) AS chrf_sum
+        FROM full_scored GROUP BY ALL""",
+    "bootstrap_ci_1000": f"""WITH {_WITH_CHRF},
+        p AS (SELECT row_number() OVER (ORDER BY source_page_id) - 1 AS idx, count(*) AS crops, sum(edits) AS a, sum(greatest(1, ref_len)) AS d,
+                     sum(wer * greatest(1, len(rw))) AS wa, sum(greatest(1, len(rw))) AS wd, sum(chrf) AS f,
+                     sum(exact_match) AS em FROM full_scored GROUP BY source_page_id),
+        t AS (SELECT count(*) AS n FROM p),
+        draws AS (SELECT b, ('0x' || substr(md5(concat_ws('|', '42', b, i)), 1, 8))::BIGINT % n AS idx
+                  FROM t, range(1000) r(b), range((SELECT n FROM t)) s(i)),
+        each AS (SELECT b, sum(a) / sum(d) AS cer, sum(wa) / sum(wd) AS wer, sum(f) / sum(crops) AS chrf, sum(em) / sum(crops) AS exact_match
+                 FROM draws JOIN p USING (idx) GROUP BY b),
+        long AS (SELECT 'cer' AS metric, cer AS v FROM each UNION ALL SELECT 'wer', wer FROM each
+                 UNION ALL SELECT 'chrf', chrf FROM each UNION ALL SELECT 'exact_match', exact_match FROM each)
+        SELECT metric, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS std,
+               round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM long GROUP BY metric""",
     "wilson": f"""WITH {SCORED},
         c AS (SELECT language, sum(exact_match)::BIGINT AS k, count(*) AS n, 1.959963984540054::DOUBLE AS z FROM scored GROUP BY language),
         m AS (SELECT *, (k / n + z * z / (2 * n)) / (1 + z * z / n) AS centre,

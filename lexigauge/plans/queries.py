@@ -23,6 +23,7 @@ from ..operators import (
 from . import records as R
 
 QUERIES = {}
+PARTIALS = ["page", "crops", "cer_num", "cer_den", "em_sum"]
 SLICES = ["language", "layout_type", "degradation_profile", "role"]
 
 
@@ -261,12 +262,22 @@ def column_gap(spark, sf_dir):
 
 @query
 def page_partials(spark, sf_dir):
-    return statistics.page_partials(_scored(spark, sf_dir))
+    return statistics.page_partials(_scored(spark, sf_dir)).select(*PARTIALS)
+
+
+@query
+def page_partials_all(spark, sf_dir):
+    return statistics.page_partials(_scored(spark, sf_dir, chrf=True))
 
 
 @query
 def bootstrap_ci(spark, sf_dir):
-    return statistics.bootstrap(statistics.page_partials(_scored(spark, sf_dir)), replicates=200)
+    return statistics.bootstrap(statistics.page_partials(_scored(spark, sf_dir)).select(*PARTIALS), replicates=200)
+
+
+@query
+def bootstrap_ci_1000(spark, sf_dir):
+    return statistics.bootstrap(statistics.page_partials(_scored(spark, sf_dir, chrf=True)))
 
 
 @query
