@@ -58,6 +58,21 @@ def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key(*columns: str) -> Column:
+    """Hash of a row's texts, null like empty: with the id it tells rows apart that share an id."""
+    return F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in columns])
+
+
+def without(docs: DataFrame, judged: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` (doc_id, key) doesn't name; ``key`` is ``text_key`` of ``columns``.
+
+    For verdicts that rows of equal id and equal ``columns`` share. Null ids match null ids.
+    """
+    gone = judged.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_gone")) & (text_key(*columns) == F.col("_gone_key"))
+    return docs.join(gone, same, "left_anti")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. ``lower`` does just that to text that is all ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import shuffle_partitions, staged
+from .common import shuffle_partitions, staged, text_key, without
 from .components import components
 
 WIDTH = 5
@@ -80,6 +80,7 @@ CUT = pa.schema(
         ("bucket", pa.int32()),
         ("block", pa.string()),
         ("doc_ids", pa.list_(pa.int64())),
+        ("texts", pa.list_(pa.int64())),
         ("of_doc", pa.list_(pa.int32())),
         ("sizes", pa.list_(pa.int32())),
         ("keys", pa.list_(pa.int64())),
@@ -89,7 +90,7 @@ CUT = pa.schema(
     ]
 )
 CUT_DDL = (
-    "bucket int, block string, doc_ids array<bigint>, of_doc array<int>, sizes array<int>, keys array<bigint>, "
+    "bucket int, block string, doc_ids array<bigint>, texts array<bigint>, of_doc array<int>, sizes array<int>, keys array<bigint>, "
     "tokens binary, counts binary, holders binary"
 )
 
@@ -105,13 +106,14 @@ class Block:
 
     def __init__(self):
         self.doc_ids: list = []
+        self.texts: list[int] = []
         self.of_doc: list[int] = []
         self.number: dict[tuple[int, int], int] = {}
         self.sets: list[np.ndarray] = []
         self.tokens = 0
 
-    def add(self, doc_id, tokens: np.ndarray) -> None:
-        """``tokens``: the sorted distinct shingles, none for an empty text."""
+    def add(self, doc_id, tokens: np.ndarray, text: int = 0) -> None:
+        """``tokens``: the sorted distinct shingles, none for an empty text; ``text`` comes back with the id."""
         if len(tokens):
             # two sums of independently mixed tokens, and the size, stand for the set
             key = (
@@ -126,6 +128,7 @@ class Block:
         else:
             at = -1
         self.doc_ids.append(doc_id)
+        self.texts.append(text)
         self.of_doc.append(at)
 
     def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -134,7 +137,7 @@ class Block:
         name = xxhash.xxh3_128(keys.tobytes() + repr(self.doc_ids).encode()).hexdigest()
         own = int(name[:8], 16) % buckets
         yield _rows(
-            [(own, name, self.doc_ids, self.of_doc, sizes.tolist(), keys.tolist(), None, None, None)], CUT
+            [(own, name, self.doc_ids, self.texts, self.of_doc, sizes.tolist(), keys.tolist(), None, None, None)], CUT
         )
         if not self.sets:
             return
@@ -148,7 +151,7 @@ class Block:
             lo, hi = cuts[b], cuts[b + 1]
             if lo < hi:
                 counts = np.bincount(holder[lo:hi], minlength=len(self.sets)).astype("<u4")
-                yield _rows([(b, name, None, None, None, None, _bytes7(flat[lo:hi]), _counts(counts), None)], CUT)
+                yield _rows([(b, name, None, None, None, None, None, _bytes7(flat[lo:hi]), _counts(counts), None)], CUT)
 
 
 def _counts(values: np.ndarray) -> bytes:
@@ -163,13 +166,13 @@ def _cut(buckets: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
             for lo, hi, buf, off in textvec.chunks(batch.column("text")):
                 w = textvec.words(buf, off)
                 sh, bounds = textvec.shingles(textvec.span_hashes(buf, w.starts, w.ends), w.bounds, width)
                 for k in range(hi - lo):
                     own = np.unique(sh[bounds[k] : bounds[k + 1]])
-                    block.add(ids[lo + k], own)
+                    block.add(ids[lo + k], own, keys[lo + k])
                     if block.tokens >= BLOCK_TOKENS or len(block.doc_ids) >= BLOCK_SETS:
                         yield from block.rows(buckets)
                         block = Block()
@@ -200,7 +203,7 @@ def _count_bucket(group: pa.Table) -> pa.Table:
         hit = (shared[at] == tokens) if len(shared) else np.zeros(len(tokens), bool)
         own = np.repeat(np.arange(len(counts) // 4), _from_counts(counts))
         left = np.bincount(own[hit], minlength=len(counts) // 4)
-        rows.append((bucket, block, None, None, None, None, _bytes7(tokens[hit]), _counts(left), _counts(holders[at[hit]])))
+        rows.append((bucket, block, None, None, None, None, None, _bytes7(tokens[hit]), _counts(left), _counts(holders[at[hit]])))
     out.append(pa.Table.from_batches([_rows(rows, CUT)]))
     return pa.concat_tables([out[0].cast(CUT), out[1]])
 
@@ -491,9 +494,14 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     no other. An empty table gives no rows; other columns of ``docs`` are ignored. Shingles are
     compared as 61-bit hashes or longer.
     """
+    return _joined(docs, width).drop("key")
+
+
+def _joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``jaccard_join`` with the key of each row's text."""
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_key("text").alias("key"))
     counted = rows.mapInArrow(_cut(buckets, width), CUT_DDL).groupBy("bucket").applyInArrow(_count_bucket, CUT_DDL)
     counted = counted.withColumn("kind", F.col("tokens").isNotNull().cast("int"))
     counted = staged(counted, "jaccard-counted", ["kind"])
@@ -515,29 +523,40 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     of_class = classes.select("n", "k1", "k2", "cid").join(member, "cid", "left").select(
         "n", "k1", "k2", "cid", F.coalesce("component", "cid").alias("component")
     )
-    documents = blocks.select(F.arrays_zip("doc_ids", "of_doc").alias("docs"), "sizes", "keys").select(
+    documents = blocks.select(F.arrays_zip("doc_ids", "texts", "of_doc").alias("docs"), "sizes", "keys").select(
         F.explode("docs").alias("d"), "sizes", "keys"
     )
     documents = documents.select(
         F.col("d.doc_ids").alias("doc_id"),
+        F.col("d.texts").alias("key"),
         F.when(F.col("d.of_doc") >= 0, F.col("sizes")[F.col("d.of_doc")]).alias("n"),
         F.when(F.col("d.of_doc") >= 0, F.col("keys")[F.col("d.of_doc") * 2]).alias("k1"),
         F.when(F.col("d.of_doc") >= 0, F.col("keys")[F.col("d.of_doc") * 2 + 1]).alias("k2"),
     )
     empty = documents.where("n is null").select(
-        "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")
+        "doc_id",
+        F.lit(0).cast("long").alias("n_shingles"),
+        F.col("doc_id").alias("class_id"),
+        F.col("doc_id").alias("component_id"),
+        "key",
     )
     full = staged(documents.where("n is not null").join(of_class, ["n", "k1", "k2"]), "jaccard-documents")
     ids = full.groupBy("cid", "component").agg(F.min("doc_id").alias("class_id"))
     least = ids.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = ids.join(least, "component").select("cid", "class_id", "component_id")
     return full.join(named, "cid").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id"
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id", "key"
     ).unionByName(empty)
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names it. Null ids stay."""
-    gone = jaccard_join(docs.select("doc_id", "text")).where("doc_id <> component_id")
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each component: the one whose id names it. Null ids stay.
+
+    Each row goes by its own text, whatever other rows its id has. If the naming id has several texts
+    in its component, the one with the least key stays.
+    """
+    result = staged(_joined(docs.select("doc_id", "text")), "jaccard-result")
+    naming = result.where("doc_id = component_id and n_shingles > 0").select("doc_id", "key")
+    several = naming.groupBy("doc_id").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
+    more = naming.join(several, "doc_id").where("key > first").select("doc_id", "key")
+    return without(docs, result.where("doc_id <> component_id").select("doc_id", "key").unionByName(more), "text")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import text_key, without
 
 WINDOW = 256
 WIDTHS = (2, 3)
@@ -228,7 +229,7 @@ def training_sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> tuple[l
 
 
 def identify(docs: DataFrame, net: Net) -> DataFrame:
-    """doc_id, lang_pred and score for each row of ``docs`` (doc_id, text); see ``language_id``."""
+    """doc_id, key of the text, lang_pred and score for each row of ``docs`` (doc_id, text); see ``language_id``."""
     pickled = pickle.dumps(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,20 +244,22 @@ def identify(docs: DataFrame, net: Net) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, hi - lo),
+                        batch.column("key").slice(lo, hi - lo),
                         batch.column("held_out").slice(lo, hi - lo),
                         pa.array(names[best], pa.string()),
                         pa.array(np.where(known, np.clip(score, 0, 1), 0.0)),
                     ],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
+                    names=["doc_id", "key", "held_out", "lang_pred", "score"],
                 )
 
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
+        text_key("text").alias("key"),
         "text",
         held_out(F.col("doc_id")).alias("held_out"),
         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
     )
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id bigint, key bigint, held_out boolean, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
@@ -268,11 +271,17 @@ def language_id(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
     text counts, whatever its length. Repeated rows and null ids come back one for one; an empty
     table gives no rows; other columns of ``docs`` are ignored.
     """
+    return _identified(docs, per_lang).drop("key")
+
+
+def _identified(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
     return identify(docs, train(*training_sample(docs.select("doc_id", "text", "lang"), per_lang)))
 
 
 def confident(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text is some known language with a score of ``least`` at least."""
-    result = language_id(docs)
-    gone = result.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs`` whose text is some known language with a score of ``least`` at least.
+
+    Each row goes by its own text, whatever other rows its id has.
+    """
+    gone = _identified(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
+    return without(docs, gone, "text")

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_PATTERN, WORD_PATTERN, staged
+from .common import SEPARATOR_PATTERN, WORD_PATTERN, staged, text_key, without
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -182,7 +182,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     the base rule alone decides. Rows come back one for one, repeated rows and null ids included;
     other columns of ``docs`` are ignored, whatever their names.
     """
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("lang"), F.lit("")).alias("stratum"))
+    return _judged(docs, labels, alpha, delta).drop("key")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    key = text_key("text", "lang").alias("key")
+    rows = docs.select("doc_id", "text", F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), key)
     measured = staged(_with_ratios(text_counts(rows)), "quality-measured")
     cutoffs = fit_cutoffs(measured, labels, alpha, delta)
     judged = measured.join(cutoffs, "stratum", "left")
@@ -202,14 +207,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
         "base_failed",
         (F.size("reasons") == 0).alias("kept"),
         "reasons",
+        "key",
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    A doc_id that repeats is dropped only if all its rows are rejected.
+    Each row goes by its own text and language, whatever other rows its id has.
     """
-    judged = staged(quality_rules(docs, labels).select("doc_id", "kept"), "quality-judged")
-    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("any")).where("not any").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = staged(_judged(docs, labels).where("not kept").select("doc_id", "key"), "quality-judged")
+    return without(docs, gone, "text", "lang")
