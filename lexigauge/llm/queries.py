@@ -56,7 +56,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return license_scan.license_scan(table(spark, sf_dir, "documents"), closest=True)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,8 @@ ORACLE_SQL = {
         FROM rows LEFT JOIN sizes USING (rid) JOIN least USING (rid) JOIN class USING (rid)""",
     "op7_quality_rules": rf"""
         WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
-        lines AS (SELECT *, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS ls FROM rows),
+        lines AS (SELECT *, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS ls FROM rows),
         windows AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) AS g FROM rows),
         again AS (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM windows),
         covered AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS j FROM again WHERE c > 1) GROUP BY rid),
