@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +105,8 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 class Block:
     """Documents of one task: their distinct sets, and which set each has."""
 
-    def __init__(self):
+    def __init__(self, place: str = ""):
+        self.place = place
         self.doc_ids: list = []
         self.texts: list[int] = []
         self.of_doc: list[int] = []
@@ -134,7 +136,7 @@ class Block:
     def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
         keys = np.array([k for pair in self.number for k in pair], np.uint64).view(np.int64)
         sizes = np.fromiter(map(len, self.sets), np.int32, len(self.sets))
-        name = xxhash.xxh3_128(keys.tobytes() + repr(self.doc_ids).encode()).hexdigest()
+        name = xxhash.xxh3_128(keys.tobytes() + repr((self.place, self.doc_ids)).encode()).hexdigest()
         own = int(name[:8], 16) % buckets
         yield _rows(
             [(own, name, self.doc_ids, self.texts, self.of_doc, sizes.tolist(), keys.tolist(), None, None, None)], CUT
@@ -164,7 +166,9 @@ def _from_counts(data: bytes) -> np.ndarray:
 
 def _cut(buckets: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block()
+        # partition and number: equal rows elsewhere are another block, a task that runs again has the same
+        task, number = TaskContext.get().partitionId(), 0
+        block = Block(f"{task}:{number}")
         for batch in batches:
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
             for lo, hi, buf, off in textvec.chunks(batch.column("text")):
@@ -175,7 +179,8 @@ def _cut(buckets: int, width: int):
                     block.add(ids[lo + k], own, keys[lo + k])
                     if block.tokens >= BLOCK_TOKENS or len(block.doc_ids) >= BLOCK_SETS:
                         yield from block.rows(buckets)
-                        block = Block()
+                        number += 1
+                        block = Block(f"{task}:{number}")
         if block.doc_ids:
             yield from block.rows(buckets)
 
