@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver can reach.
 
-    It is the cluster's ``spark.checkpoint.dir``; a local one is made only where that is unset.
+    It is the cluster's ``spark.checkpoint.dir``; a local one is made only where that is unset and
+    all executors are this machine's one process. Elsewhere other executors couldn't read it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lexigauge-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -43,10 +50,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Staged tables that are still there, in the order in which they were written.
+_live: list[str] = []
+
+
 def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
-    A lost executor costs a re-read of the files and nothing upstream of them.
+    A lost executor costs a re-read of the files and nothing upstream of them. The table goes at the
+    session's end, or with the ``scratch`` it was written in.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexigauge/{label}-{uuid.uuid4().hex}"
@@ -54,10 +66,32 @@ def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _live.append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, and_before: int = 0) -> Iterator[None]:
+    """Tables that are staged inside, but for the last one, are removed at the end.
+
+    The block's result is what it staged last; nothing that is used later may read the others.
+    ``and_before`` tables that were staged just before go too.
+    """
+    before = len(_live) - and_before
+    yield
+    for path in _live[before:-1]:
+        _remove(spark, path)
+    del _live[before:-1]
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's as a plan of built-in functions, whose size Spark knows."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    data = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{schema}>>")))
+
+
 def text_key(*columns: str) -> Column:
     """Hash of a row's texts, null like empty: with the id it tells rows apart that share an id."""
     return F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in columns])

@@ -33,7 +33,10 @@ def _blocks(block_bytes: int):
 
 
 def _named(distinct_rows: DataFrame, *keys: str) -> DataFrame:
-    """Integer names for distinct rows: partition number and rank in the partition's sort order."""
+    """Integer names for distinct rows: partition number and rank in the partition's sort order.
+
+    Equal content has one name; which one depends on the number of partitions. No result shows a name.
+    """
     return distinct_rows.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
@@ -138,9 +141,10 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     All columns of ``docs`` come back. Rows that repeat a doc_id and its text leave one row.
     """
     result = staged(exact_dedup(docs.select("doc_id", "text")), "dedup-result")
-    dropped = result.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
     if result.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(dropped.select("_gone"), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+        # written first, so that Spark knows its size when it chooses how to join
+        gone = staged(result.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "dedup-dropped")
+        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
     # repeated doc_ids: the text tells which rows of an id go
     sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
     keep = result.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))

@@ -564,4 +564,5 @@ def one_per_component(docs: DataFrame) -> DataFrame:
     naming = result.where("doc_id = component_id and n_shingles > 0").select("doc_id", "key")
     several = naming.groupBy("doc_id").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
     more = naming.join(several, "doc_id").where("key > first").select("doc_id", "key")
-    return without(docs, result.where("doc_id <> component_id").select("doc_id", "key").unionByName(more), "text")
+    gone = staged(result.where("doc_id <> component_id").select("doc_id", "key").unionByName(more), "jaccard-dropped")
+    return without(docs, gone, "text")

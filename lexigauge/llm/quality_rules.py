@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_PATTERN, WORD_PATTERN, staged, text_key, without
+from .common import SEPARATOR_PATTERN, WORD_PATTERN, local_rows, staged
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -170,7 +170,7 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delta: flo
         chosen.setdefault(stratum, {})[rule] = cutoff
     columns = ["stratum string", *(f"cut_{rule} double" for rule in CUTOFFS)]
     rows = [(s, *[c.get(rule) for rule in CUTOFFS]) for s, c in chosen.items()]
-    return measured.sparkSession.createDataFrame(rows, ", ".join(columns))
+    return local_rows(measured.sparkSession, rows, ", ".join(columns))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -178,26 +178,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept
     and ``reasons`` (names of the rules that reject). Null or empty text has no words and fails the
-    base rule. A null language is a stratum of its own. Without labels no cutoff is certified and
-    the base rule alone decides. Rows come back one for one, repeated rows and null ids included;
-    other columns of ``docs`` are ignored, whatever their names.
+    base rule. A null language is a stratum of its own, an empty one another. Without labels no
+    cutoff is certified and the base rule alone decides. Rows come back one for one, repeated rows
+    and null ids included; other columns of ``docs`` are ignored, whatever their names.
     """
-    return _judged(docs, labels, alpha, delta).drop("key")
-
-
-def _judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    key = text_key("text", "lang").alias("key")
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), key)
-    measured = staged(_with_ratios(text_counts(rows)), "quality-measured")
-    cutoffs = fit_cutoffs(measured, labels, alpha, delta)
-    judged = measured.join(cutoffs, "stratum", "left")
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.col("base_failed"), F.lit("base")),
-            *[F.when(F.col(rule) > F.col(f"cut_{rule}"), F.lit(rule)) for rule in CUTOFFS],
-        )
-    )
-    return judged.withColumn("reasons", reasons).select(
+    return _judged(docs.select("doc_id", "text", _stratum()), labels, alpha, delta).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -207,14 +192,32 @@ def _judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
         "base_failed",
         (F.size("reasons") == 0).alias("kept"),
         "reasons",
-        "key",
     )
 
 
+def _stratum() -> Column:
+    """The language, marked so that null and the empty text differ."""
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("stratum")
+
+
+def _judged(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """``rows`` (doc_id, text, stratum, ...) without their text, with counts and reasons: read once, moved nowhere."""
+    measured = staged(_with_ratios(text_counts(rows)), "quality-measured")
+    judged = measured.join(fit_cutoffs(measured, labels, alpha, delta), "stratum", "left")
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("base_failed"), F.lit("base")),
+            *[F.when(F.col(rule) > F.col(f"cut_{rule}"), F.lit(rule)) for rule in CUTOFFS],
+        )
+    )
+    return judged.withColumn("reasons", reasons)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    Each row goes by its own text and language, whatever other rows its id has.
+    Each row carries itself beside its counts, so its own verdict decides, whatever other rows its id
+    has, and no text is shuffled.
     """
-    gone = staged(_judged(docs, labels).where("not kept").select("doc_id", "key"), "quality-judged")
-    return without(docs, gone, "text", "lang")
+    rows = docs.select("doc_id", "text", _stratum(), F.struct(*docs.columns).alias("_row"))
+    return _judged(rows, labels).where(F.size("reasons") == 0).select("_row.*")

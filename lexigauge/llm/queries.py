@@ -112,7 +112,7 @@ ORACLE_SQL = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS class_id, m AS component_id
         FROM rows LEFT JOIN sizes USING (rid) JOIN least USING (rid) JOIN class USING (rid)""",
     "op7_quality_rules": rf"""
-        WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+        WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
         lines AS (SELECT *, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-
 ]')) AS ls FROM rows),
         windows AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) AS g FROM rows),

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, staged
+from .common import LOWER, UPPER, local_rows, staged
 
 #: Bits of one piece of a filter, as ``bitmap_construct_agg`` makes them.
 PIECE_BITS = 32_768
@@ -153,7 +153,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
 
 
 def _keys(spark: SparkSession, keys: list[str]) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in sorted(set(keys))], "key string")
+    return local_rows(spark, [(k,) for k in sorted(set(keys))], "key string")
 
 
 def url_filter(
