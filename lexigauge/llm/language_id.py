@@ -1,14 +1,13 @@
 """Language identification by a byte convolutional network, trained and applied in numpy.
 
-The network looks at fixed-length byte windows: byte embeddings, filters of several widths, the
-maximum of each filter over the window, softmax. Training is a driver-side job on a sample whose
-size is a parameter; scoring runs over every window of every text.
-
-Scoring never multiplies matrices over the text. A filter of width w sees only w bytes, so its
-response to the first two of them and to each further byte is a sum of table rows; bytes are folded
-into fewer symbols first (the model is trained on the folded symbols too), and the responses are
-quantised to eight bits, which keeps order and so commutes with the maximum. Both tables have a
-fixed size.
+The network looks at fixed-length windows of a text's bytes as they are: byte embeddings, filters of
+several widths, the maximum of each filter over the window, softmax. Training is a driver-side job on
+a sample of windows whose size is a parameter; scoring runs over every window of every text.
+
+Scoring never multiplies matrices over the text. A filter's response is a sum of what each of its
+bytes adds, so it is a sum of table rows, one for each pair of bytes (and one for a single byte at an
+odd width). The rows are quantised to integers of one scale per filter, so they can be added up, and
+quantising keeps order and so commutes with the maximum. A pair's table has 65,536 rows.
 """
 
 from __future__ import annotations
@@ -23,34 +22,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import text_key, without
 
 WINDOW = 256
-WIDTHS = (2, 3)
+WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 12
-#: Labelled rows taken for training, per language.
+BYTES = 256
+#: Labelled rows taken for training, per language, and windows out of all of theirs.
 SAMPLE_PER_LANG = 400
+WINDOWS_PER_LANG = 4000
 UNKNOWN = "und"
 FOLDS = 4
 HELD = 2
-
-#: Symbols: a-z folded, high bytes kept apart, all else by kind. Fixed by rule, not learned.
-SYMBOLS = 128
-
-
-def _symbol_table() -> np.ndarray:
-    table = np.zeros(256, np.uint8)  # 0: white space, digits, punctuation, control
-    for b in range(26):
-        table[65 + b] = table[97 + b] = 1 + b
-    table[39] = 27
-    table[45] = 28
-    for b in range(128, 256):  # two bytes share a symbol only 99 apart
-        table[b] = 29 + (b - 128) % 99
-    return table
-
-
-SYMBOL = _symbol_table()
+#: What stands behind the end of a text.
+BLANK = 32
+#: Windows that are scored at a time: their responses should fit a processor's cache.
+AT_ONCE = 256
 
 
 def held_out(doc_id: Column, folds: int = FOLDS, held: int = HELD) -> Column:
@@ -64,7 +51,7 @@ class Net:
     def __init__(self, langs: list[str], seed: int = 7):
         rng = np.random.default_rng(seed)
         self.langs = langs
-        self.embed = rng.normal(0, 0.3, (SYMBOLS, EMBED)).astype(np.float32)
+        self.embed = rng.normal(0, 0.3, (BYTES, EMBED)).astype(np.float32)
         self.filters = {w: rng.normal(0, 0.3, (w, EMBED, FILTERS)).astype(np.float32) for w in WIDTHS}
         self.bias = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
         self.out = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(langs))).astype(np.float32)
@@ -109,11 +96,11 @@ class Net:
 
 
 def windows_of(text: bytes, window: int = WINDOW) -> np.ndarray:
-    """The text's symbols in rows of ``window``, the last padded with the blank symbol."""
-    s = SYMBOL[np.frombuffer(text, np.uint8)]
-    n = max(1, -(-len(s) // window))
-    out = np.zeros(n * window, np.uint8)
-    out[: len(s)] = s
+    """The text's bytes in rows of ``window``, the last padded."""
+    own = np.frombuffer(text, np.uint8)
+    n = max(1, -(-len(own) // window))
+    out = np.full(n * window, BLANK, np.uint8)
+    out[: len(own)] = own
     return out.reshape(n, window)
 
 
@@ -135,7 +122,7 @@ def train(texts: list[bytes], langs: list[str], window: int = WINDOW, steps: int
         # some windows are cut short, as those at the end of a text and those of short texts are
         short = rng.random(len(x)) < 0.3
         ends = rng.integers(8, window, len(x))
-        x = np.where(short[:, None] & (np.arange(window)[None] >= ends[:, None]), 0, x)
+        x = np.where(short[:, None] & (np.arange(window)[None] >= ends[:, None]), np.uint8(BLANK), x)
         rate = 0.01 * (1 - step / (steps + 1))
         for p, g, a, b in zip(params, net.gradients(x, y), m, v, strict=True):
             a += 0.1 * (g - a)
@@ -145,33 +132,36 @@ def train(texts: list[bytes], langs: list[str], window: int = WINDOW, steps: int
 
 
 class Scorer:
-    """The net as lookup tables: for each width the response to a symbol pair, and to further symbols."""
+    """The net as lookup tables: for each width what every pair of bytes adds, and a last single byte."""
 
     def __init__(self, net: Net):
         self.langs, self.out, self.out_bias = net.langs, net.out, net.out_bias
         self.tables, self.scale = {}, {}
         for w in WIDTHS:
-            parts = [net.embed @ net.filters[w][k] for k in range(w)]
-            total = parts[0][:, None, :] + parts[1][None, :, :] + net.bias[w]
-            if w == 3:
-                total = total[:, :, None, :] + parts[2][None, None, :, :]
-            total = total.reshape(-1, FILTERS)
-            low, high = total.min(0), total.max(0)
-            step = np.maximum((high - low) / 255, 1e-9)
-            quantised = np.round((total - low) / step).astype(np.uint8)
-            self.tables[w] = np.ascontiguousarray(quantised).view(f"V{FILTERS}").reshape(-1)
-            self.scale[w] = (low, step)
+            single = [net.embed @ net.filters[w][k] for k in range(w)]
+            low = sum(t.min(0) for t in single)
+            step = np.maximum((sum(t.max(0) for t in single) - low) / 30_000, 1e-9)
+            parts = []
+            for k in range(0, w, 2):
+                t = single[k] - single[k].min(0)
+                if k + 1 < w:
+                    t = (t[:, None, :] + (single[k + 1] - single[k + 1].min(0))[None, :, :]).reshape(-1, FILTERS)
+                parts.append(np.round(t / step).astype(np.int16))
+            self.tables[w] = parts
+            self.scale[w] = (low + net.bias[w], step)
 
     def windows(self, x: np.ndarray) -> np.ndarray:
-        """Language probabilities of each row of symbols."""
-        wide = x.astype(np.int32)
-        pair = wide[:, :-1] * SYMBOLS + wide[:, 1:]
+        """Language probabilities of each row of bytes."""
+        pair = x[:, :-1].astype(np.uint16) << np.uint16(8) | x[:, 1:]
         pooled = []
         for w in WIDTHS:
-            code = pair if w == 2 else pair[:, :-1] * SYMBOLS + wide[:, 2:]
-            seen = self.tables[w][code].view(np.uint8).reshape(*code.shape, FILTERS)
+            n, seen = x.shape[1] - w + 1, None
+            for k, table in enumerate(self.tables[w]):
+                code = pair if len(table) > BYTES else x
+                part = table.take(code[:, 2 * k : 2 * k + n], axis=0)
+                seen = part if seen is None else np.add(seen, part, out=seen)
             low, step = self.scale[w]
-            pooled.append(np.tanh(low + step * seen.max(1)))
+            pooled.append(np.tanh(low + step * _highest(seen)))
         z = np.concatenate(pooled, 1) @ self.out + self.out_bias
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
@@ -184,52 +174,66 @@ class Scorer:
         mean = np.zeros((len(n), len(self.langs)))
         if total:
             first = np.cumsum(counts) - counts
-            x = np.zeros(total * window, np.uint8)
-            x[textvec.positions(first * window, n)] = SYMBOL[buf]
+            x = np.full(total * window, BLANK, np.uint8)
+            x[textvec.positions(first * window, n)] = buf
             x = x.reshape(total, window)
             weight = np.full(total, window, np.float64)
             some = counts > 0
             weight[(first + counts - 1)[some]] = (n - (counts - 1) * window)[some]
-            p = np.concatenate([self.windows(x[k : k + 2048]) for k in range(0, total, 2048)]) * weight[:, None]
+            p = np.concatenate([self.windows(x[k : k + AT_ONCE]) for k in range(0, total, AT_ONCE)]) * weight[:, None]
             mean[some] = np.add.reduceat(p, first[some]) / n[some][:, None]
         best = mean.argmax(1)
         return best, mean[np.arange(len(n)), best]
 
 
+def _highest(seen: np.ndarray) -> np.ndarray:
+    """The maximum along the middle axis, by halves: whole rows are compared at a time."""
+    while (n := seen.shape[1]) > 1:
+        half = n // 2
+        top = np.maximum(seen[:, :half], seen[:, half : 2 * half])
+        if n % 2:
+            np.maximum(top[:, :1], seen[:, 2 * half :], out=top[:, :1])
+        seen = top
+    return seen[:, 0]
+
+
 @lru_cache(maxsize=2)
 def _scorer(pickled: bytes) -> Scorer:
     """The tables are made once for each worker; only the small net travels."""
     return Scorer(pickle.loads(pickled))
 
 
-def training_sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> tuple[list[bytes], list[str]]:
-    """About ``per_lang`` labelled rows of each language, chosen by a hash of id and text.
+def training_sample(
+    docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, windows: int = WINDOWS_PER_LANG
+) -> tuple[list[bytes], list[str]]:
+    """(windows, their languages) of about ``per_lang`` labelled rows of each language, chosen by a hash.
 
-    At most 64 windows, from the middle of each sampled text, come to the driver.
+    Of all windows of a language's rows, those with the lowest hashes come to the driver, ``windows`` at most.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    pieces = F.ceil(F.octet_length("text") / WINDOW).cast("int")
+    known = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(pieces).alias("w")).collect()}
+    if not known:
         return [], []
-    # the share of each language that gives per_lang rows; a margin, then the lowest hashes
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.3 * per_lang / n))])
-    rank = F.xxhash64("doc_id", "lang", F.length("text"))
-    rows = rows.withColumn("_rank", rank).where(
-        F.pmod("_rank", F.lit(1_000_003)) < share[F.col("lang")] * F.lit(1_000_003)
-    )
-    most = 64 * WINDOW
-    middle = F.greatest(F.lit(1), ((F.length("text") - most) / 2).cast("int"))
-    got = rows.select("lang", "_rank", F.substring("text", middle, F.lit(most)).alias("text"))
-    taken: dict[str, list] = {k: [] for k in counts}
-    for r in got.orderBy("lang", "_rank").toLocalIterator():
-        if len(taken[r["lang"]]) < per_lang:
-            taken[r["lang"]].append(r["text"].encode())
-    pairs = [(t, k) for k, v in sorted(taken.items()) for t in v]
+    # the shares that give so many rows, and so many windows of these; a margin, then the lowest hashes
+    row_share = {k: min(1.0, per_lang / r["n"]) for k, r in known.items()}
+    share = {k: min(1.0, 1.3 * windows / max(1.0, r["w"] * row_share[k])) for k, r in known.items()}
+    most = lambda shares: F.create_map(*[F.lit(x) for k, s in shares.items() for x in (k, s)])[F.col("lang")] * 1_000_003
+    drawn = lambda *what: F.pmod(F.xxhash64(*what), F.lit(1_000_003))
+    rows = rows.where(drawn(F.col("doc_id"), F.col("lang"), F.length("text")) < most(row_share))
+    raw = F.col("text").cast("binary")
+    cut = rows.select(
+        "lang", F.explode(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring(raw, i * WINDOW + 1, F.lit(WINDOW)))).alias("piece")
+    ).withColumn("rank", F.xxhash64("piece"))
+    taken: dict[str, list] = {k: [] for k in known}
+    for r in cut.where(drawn(F.col("rank")) < most(share)).toLocalIterator():
+        taken[r["lang"]].append((r["rank"], bytes(r["piece"])))
+    pairs = [(t, k) for k, v in sorted(taken.items()) for _, t in sorted(v)[:windows]]
     return [t for t, _ in pairs], [k for _, k in pairs]
 
 
 def identify(docs: DataFrame, net: Net) -> DataFrame:
-    """doc_id, key of the text, lang_pred and score for each row of ``docs`` (doc_id, text); see ``language_id``."""
+    """doc_id, held_out, lang_pred and score for each row of ``docs`` (doc_id, text); see ``language_id``."""
     pickled = pickle.dumps(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,44 +248,57 @@ def identify(docs: DataFrame, net: Net) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, hi - lo),
-                        batch.column("key").slice(lo, hi - lo),
                         batch.column("held_out").slice(lo, hi - lo),
                         pa.array(names[best], pa.string()),
                         pa.array(np.where(known, np.clip(score, 0, 1), 0.0)),
                     ],
-                    names=["doc_id", "key", "held_out", "lang_pred", "score"],
+                    names=["doc_id", "held_out", "lang_pred", "score"],
                 )
 
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        text_key("text").alias("key"),
         "text",
         held_out(F.col("doc_id")).alias("held_out"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
+        _letters().alias("letters"),
     )
-    return rows.mapInArrow(run, "doc_id bigint, key bigint, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+
+
+def _letters() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
 def language_id(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of ``docs`` (doc_id, text, lang).
 
-    Trained on at most ``per_lang`` rows of each language outside the held-out fold (crc32 of the id
-    modulo 4 is 2). Null text, and text without a letter, is ``und`` with score 0, and so is all text
+    Trained on windows of about ``per_lang`` rows of each language outside the held-out fold (crc32 of
+    the id modulo 4 is 2). Null text, and text without a letter, is ``und`` with score 0, and so is all text
     when no row is labelled; with one language everything else is that language. Every window of a
     text counts, whatever its length. Repeated rows and null ids come back one for one; an empty
     table gives no rows; other columns of ``docs`` are ignored.
     """
-    return _identified(docs, per_lang).drop("key")
-
-
-def _identified(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
-    return identify(docs, train(*training_sample(docs.select("doc_id", "text", "lang"), per_lang)))
+    return identify(docs, train(*training_sample(docs, per_lang)))
 
 
 def confident(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text is some known language with a score of ``least`` at least.
 
-    Each row goes by its own text, whatever other rows its id has.
+    Rows are scored and kept or dropped where they are: each goes by its own text, whatever other rows
+    its id has, and nothing is shuffled.
     """
-    gone = _identified(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
-    return without(docs, gone, "text")
+    pickled = pickle.dumps(train(*training_sample(docs)))
+    names = docs.columns
+    text = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(pickled)
+        for batch in batches:
+            letters = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi, buf, off in textvec.chunks(batch.column(text), 1 << 20):
+                keep = letters[lo:hi] & (len(scorer.langs) > 0)
+                if keep.any():
+                    keep &= scorer.texts(buf, off)[1] >= least
+                own = [c.slice(lo, hi - lo) for c in batch.columns[: len(names)]]
+                yield pa.RecordBatch.from_arrays(own, names=names).filter(pa.array(keep))
+
+    return docs.withColumn("_letters_", _letters()).mapInArrow(run, docs.schema)
