@@ -5,8 +5,11 @@ pre-tokens stays with the block as positions in the block's own word list, and t
 dealt out by a hash of the word. There every distinct word of the corpus is encoded once, its ids go
 back to the blocks that asked, and the blocks put the ids of their texts together by position. So
 what is shuffled is a word list per block and not a row per pre-token; a word that every text uses
-is one entry per block. Decoding looks every id up in the table of token bytes, whose size is the
-vocabulary's.
+is one entry per block.
+
+Decoding joins the ids with the table of token bytes. The table's size is the vocabulary's, so it is
+the side that every worker holds, as an array by id; a join with one row per id would move four
+times the text to look up the same.
 """
 
 from __future__ import annotations
@@ -164,11 +167,12 @@ def _cut_words(buckets: int, block_bytes: int):
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             starts, flat = _spans(words)
             sizes = np.diff(starts)
-            for b in range(buckets):
+            rows = []
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
                 own = order[cuts[b] : cuts[b + 1]]
-                if len(own):
-                    data = _packed(flat[textvec.positions(starts[own], sizes[own])].tobytes())
-                    yield _record([(block, b, _planes(own), _planes(sizes[own]), data)], _WORDS)
+                data = _packed(flat[textvec.positions(starts[own], sizes[own])].tobytes())
+                rows.append((block, b, _planes(own), _planes(sizes[own]), data))
+            yield _record(rows, _WORDS)  # one batch a block: a batch of one row costs as much as one of many
 
     return run
 
@@ -190,24 +194,29 @@ def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 _SCHEMA2 = pa.schema([("block", pa.string()), ("codes", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
 
 
+#: Word lists that are looked up together.
+LISTS = 64
+
+
 def _encode_bucket(content: bytes, kind: str):
-    def run(group: pa.Table) -> pa.Table:
-        enc, _ = encoder(content, kind)
-        lists = [
-            _words_of(a, b) for a, b in zip(group["lengths"].to_pylist(), group["data"].to_pylist(), strict=True)
-        ]
-        coded = pa.concat_arrays(lists).dictionary_encode()
-        ids = [encode_piece(enc, w) for w in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for piece in ids for i in piece), np.uint32, int(sizes.sum()))
-        begin = np.cumsum(sizes) - sizes
-        codes, at, rows = coded.indices.to_numpy(), 0, []
-        for block, own, words in zip(group["block"].to_pylist(), group["codes"].to_pylist(), lists, strict=True):
-            mine = codes[at : at + len(words)]
-            at += len(words)
-            take = textvec.positions(begin[mine], sizes[mine])
-            rows.append((block, own, _planes(sizes[mine]), _planes(flat[take])))
-        return pa.Table.from_batches([_record(rows, _SCHEMA2)])
+    """Encodes each distinct word of a bucket once; lists come and go, only the words' ids are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = PieceCache(encoder(content, kind)[0], limit=None)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, LISTS):
+                part = batch.slice(lo, LISTS)
+                lists = [_words_of(a, b) for a, b in zip(part["lengths"].to_pylist(), part["data"].to_pylist(), strict=True)]
+                coded = pa.concat_arrays(lists).dictionary_encode()
+                flat, sizes = cache.flat(coded.dictionary)
+                begin = np.cumsum(sizes) - sizes
+                codes, at, rows = coded.indices.to_numpy(), 0, []
+                for block, own, words in zip(part["block"].to_pylist(), part["codes"].to_pylist(), lists, strict=True):
+                    mine = codes[at : at + len(words)]
+                    at += len(words)
+                    take = textvec.positions(begin[mine], sizes[mine])
+                    rows.append((block, own, _planes(sizes[mine]), _planes(flat[take])))
+                yield _record(rows, _SCHEMA2)
 
     return run
 
@@ -326,9 +335,9 @@ def read_vocabulary(path: str) -> bytes:
 
 
 class PieceCache:
-    """Ids of distinct pieces for a worker that encodes whole texts; it holds ``limit`` pieces at most."""
+    """Ids of distinct pieces, each encoded once; it holds ``limit`` pieces at most (None: all that come)."""
 
-    def __init__(self, enc: tiktoken.Encoding, limit: int = 300_000):
+    def __init__(self, enc: tiktoken.Encoding, limit: int | None = 300_000):
         self.enc, self.limit, self.known = enc, limit, {}
 
     def ids(self, pieces: list[bytes]) -> list[np.ndarray]:
@@ -337,18 +346,22 @@ class PieceCache:
             got = known.get(p)
             if got is None:
                 got = encode_piece(self.enc, p)
-                if len(known) < self.limit:
+                if self.limit is None or len(known) < self.limit:
                     known[p] = got
             out.append(got)
         return out
 
+    def flat(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, one after the other, and their numbers)."""
+        lists = self.ids(pieces.to_pylist())
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((i for piece in lists for i in piece), np.uint32, int(sizes.sum())), sizes
+
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds by text) of a chunk of texts."""
         bounds = textvec.pretokens(buf, off)
         coded = textvec.binary_array(buf, bounds).dictionary_encode()
-        lists = self.ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for piece in lists for i in piece), np.uint32, int(sizes.sum()))
+        flat, sizes = self.flat(coded.dictionary)
         begin = np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy()
         n = sizes[codes]
