@@ -2,11 +2,15 @@
 
 Each task packs its own documents, so nothing is shuffled and no group of documents meets in one
 task. A document gives as many full windows as it holds; what is left over is routed to the
-smallest tier that takes it. Leftovers of the longest tier open a window each; the window's gap is
-filled from the shorter tiers, the largest leftover that fits first, and when none fits the smallest
-one is cut. Then the shorter tiers are packed in the same way among themselves. The last, partial
-window of a task is split at powers of two, which need no padding. Sequences of one length are dealt
-to step groups so that each group has about the same attention cost.
+smallest tier (context size) that takes it. Every tier is packed into sequences of its own length, the
+longest tier first: a tier's largest leftover opens a sequence, whose gap is filled from the shorter
+tiers, the largest leftover that fits first; where none fits the shortest is cut, and what remains of
+it is routed again. So short leftovers fill the gaps of long windows, and those that are not needed
+there make up short sequences. A tier's last, partial sequence of a task is split at powers of two,
+which need no padding.
+
+Sequences of one length are dealt to step groups: a group has the same number of tokens at every
+length, and the groups of a length have about the same attention cost.
 """
 
 from __future__ import annotations
@@ -23,10 +27,11 @@ from pyspark.sql import DataFrame
 from . import textvec
 from .bpe import PieceCache, encoder
 
-WINDOW = 1024
+#: Context sizes; the last is the window that long documents are cut at.
 TIERS = (64, 128, 256, 512, 1024)
 #: Leftovers that wait at most before they are packed: memory of a task.
 POOL = 8192
+#: Full windows of a step group, or as many tokens in shorter sequences.
 GROUP = 8
 
 SCHEMA = pa.schema(
@@ -94,29 +99,54 @@ class Leftovers:
         return self._take((self.lengths & -self.lengths).bit_length() - 1) if self.n else None
 
 
-def pack(leftovers: Leftovers, window: int, last: bool) -> Iterator[list[Piece]]:
-    """Full windows from the waiting pieces; the rest stays, or is split at powers of two at the end."""
-    while leftovers.n:
-        opened = leftovers.largest(window)
-        filled, used = [opened], len(opened.ids)
-        while used < window:
-            piece = leftovers.largest(window - used)
-            if piece is None:
-                piece = leftovers.smallest()
-                if piece is None:
-                    break
-                piece, rest = piece.cut(window - used)
-                leftovers.add(rest)
-            filled.append(piece)
-            used += len(piece.ids)
-        if used == window:
-            yield filled
-        elif last:
-            yield from _powers(filled, used)
-        else:
-            for piece in filled:
-                leftovers.add(piece)
-            return
+class Tiers:
+    """Leftovers by tier: each waits in the smallest tier that takes it."""
+
+    def __init__(self, sizes: tuple[int, ...]):
+        self.sizes = sizes
+        self.pools = [Leftovers() for _ in sizes]
+
+    def add(self, piece: Piece) -> None:
+        self.pools[bisect_left(self.sizes, len(piece.ids))].add(piece)
+
+    def __len__(self) -> int:
+        return sum(p.n for p in self.pools)
+
+    def filler(self, gap: int, tier: int) -> Piece | None:
+        """What goes into a gap of a sequence of ``tier``: what fits from shorter tiers, then from its own; else what can be cut."""
+        shorter, own = self.pools[:tier], self.pools[tier]
+        for pool in shorter[::-1]:
+            if piece := pool.largest(gap):
+                return piece
+        if piece := own.largest(gap):
+            return piece
+        for pool in [*shorter, own]:
+            if piece := pool.smallest():
+                return piece
+        return None
+
+
+def pack(waiting: Tiers, last: bool) -> Iterator[list[Piece]]:
+    """Sequences of the tiers' lengths; what fills none stays, or is split at powers of two at the end."""
+    for tier in reversed(range(len(waiting.sizes))):
+        size, own = waiting.sizes[tier], waiting.pools[tier]
+        while own.n:
+            opened = own.largest(size)
+            filled, used = [opened], len(opened.ids)
+            while used < size and (piece := waiting.filler(size - used, tier)):
+                if len(piece.ids) > size - used:
+                    piece, rest = piece.cut(size - used)
+                    waiting.add(rest)
+                filled.append(piece)
+                used += len(piece.ids)
+            if used == size:
+                yield filled
+            elif last:
+                yield from _powers(filled, used)
+            else:
+                for piece in filled:
+                    waiting.add(piece)
+                return
 
 
 def _powers(pieces: list[Piece], used: int) -> Iterator[list[Piece]]:
@@ -139,12 +169,12 @@ def _powers(pieces: list[Piece], used: int) -> Iterator[list[Piece]]:
 class Packer:
     """Packs the documents of one task; ``rows`` hold the pieces of finished sequences."""
 
-    def __init__(self, window: int, tiers: tuple[int, ...], first_id: int, group: int):
-        self.window, self.tiers, self.group = window, tiers, group
-        self.next_id, self.leftovers = first_id, Leftovers()
+    def __init__(self, tiers: tuple[int, ...], first_id: int, group: int):
+        self.tiers, self.window, self.group = tiers, tiers[-1], group
+        self.next_id, self.leftovers = first_id, Tiers(tiers)
         self.next_group = first_id
         self.waiting: dict[int, list[tuple[int, list[tuple]]]] = {}  # (cost, rows) of sequences by padded length
-        self.n_waiting = 0
+        self.n_waiting = self.n_left = 0
         self.rows: list[tuple] = []
 
     def add(self, doc_id, ids: np.ndarray) -> None:
@@ -153,19 +183,21 @@ class Packer:
             self._emit([Piece(doc_id, start, ids[start : start + self.window], total)])
         if whole < total:
             self.leftovers.add(Piece(doc_id, whole, ids[whole:].copy(), total))
-        if self.leftovers.n >= POOL:
+            self.n_left += 1
+        if self.n_left >= POOL:
             self.flush(last=False)
 
     def flush(self, last: bool) -> None:
-        for pieces in pack(self.leftovers, self.window, last):
+        for pieces in pack(self.leftovers, last):
             self._emit(pieces)
+        self.n_left = len(self.leftovers)
         self.deal_groups()
 
     def deal_groups(self) -> None:
         """Deals the waiting sequences of each length to step groups, the costliest first, to and fro."""
-        for _, sequences in sorted(self.waiting.items()):
+        for length, sequences in sorted(self.waiting.items()):
             sequences.sort(key=lambda s: -s[0])
-            n = -(-len(sequences) // self.group)
+            n = -(-len(sequences) // (self.group * max(1, self.window // length)))
             for k, (_, rows) in enumerate(sequences):
                 turn, at = divmod(k, n)
                 group = self.next_group + (n - 1 - at if turn % 2 else at)
@@ -176,7 +208,7 @@ class Packer:
     def _emit(self, pieces: list[Piece]) -> None:
         used = sum(len(p.ids) for p in pieces)
         padded = used if used & (used - 1) == 0 else self.window
-        tier = self.tiers[min(bisect_left(self.tiers, max(len(p.ids) for p in pieces)), len(self.tiers) - 1)]
+        tier = self.tiers[bisect_left(self.tiers, used)]
         offset, rows = 0, []
         for p in pieces:
             n = len(p.ids)
@@ -231,25 +263,25 @@ def tokenised(batch: pa.RecordBatch, cache: PieceCache, special: dict[bytes, int
             yield ids_of[lo + k], np.append(own, np.uint32(end)).astype("<u4")
 
 
-def pack_documents(
-    docs: DataFrame, vocabulary: bytes, window: int = WINDOW, tiers: tuple[int, ...] = TIERS, end: int = 0
-) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: bytes, tiers: tuple[int, ...] = TIERS, end: int = 0) -> DataFrame:
     """One row per piece of each row of ``docs`` (doc_id, text).
 
     A document is its token ids (``vocabulary`` is the content of a byte-level BPE in JSON form, its
     special tokens recognised, none added) and the id ``end``. Returns doc_id, start, length,
-    ids_crc32, doc_tokens, sequence_id, offset and, beyond these, padded_length, tier and
-    step_group. Every id lies in one piece; a sequence is full, or has a power of two as its length,
-    so nothing is padded. Null or empty text is the end id alone. Repeated rows and null ids are
+    ids_crc32, doc_tokens, sequence_id, offset and, beyond these, padded_length, tier (the context
+    size) and step_group. Every id lies in one piece. ``tiers`` ascend; with powers of two as tiers
+    every sequence has a power of two as its length, so nothing is padded. Null or empty text is the end id alone. Repeated rows and null ids are
     packed as any others; an empty table gives no rows; other columns of ``docs`` are ignored.
     Sequence ids are unique over all tasks and the same when a task runs again.
     """
+    if list(tiers) != sorted(set(tiers)) or tiers[0] < 1:
+        raise ValueError("tiers are ascending context sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, special = encoder(vocabulary, "json")
         special = {k.encode(): v for k, v in special.items()}
         cache = PieceCache(enc)
-        packer = Packer(window, tiers, TaskContext.get().partitionId() << 40, GROUP)
+        packer = Packer(tiers, TaskContext.get().partitionId() << 40, GROUP)
         for batch in batches:
             for doc_id, ids in tokenised(batch, cache, special, end):
                 packer.add(doc_id, ids)

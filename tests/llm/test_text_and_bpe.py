@@ -101,21 +101,53 @@ def test_packing(odd_documents):
         for p in sorted(parts, key=lambda p: p["offset"]):
             assert p["offset"] == at
             at += p["length"]
-        assert at == packing.WINDOW or at & (at - 1) == 0
+        assert at <= packing.TIERS[-1] and at & (at - 1) == 0
         assert {p["padded_length"] for p in parts} == {at}
     assert packing.pack_documents(odd_documents.limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
-def test_step_groups_are_balanced():
+def packed(tiers, short=False):
     rnd = np.random.default_rng(1)
-    packer = packing.Packer(1024, packing.TIERS, 0, 8)
+    packer = packing.Packer(tiers, 0, 8)
     for k in range(3000):
-        packer.add(k, np.zeros(int(rnd.integers(1, 1500)), np.uint32))
+        n = 2 ** rnd.uniform(0, 10) if short else rnd.integers(1, 1500)
+        packer.add(k, np.zeros(int(n), np.uint32))
     packer.flush(last=True)
+    return packer.rows
+
+
+def test_step_groups_are_balanced():
     cost, size = defaultdict(int), defaultdict(set)
-    for r in packer.rows:
+    for r in packed(packing.TIERS):
         if r[7] == 1024:
             cost[r[9]] += r[2] ** 2
             size[r[9]].add(r[5])
     full = [cost[g] for g in cost if len(size[g]) == 8]
     assert len(full) > 20 and max(full) < 1.6 * min(full)
+
+
+def test_tiers_are_packed_each_by_itself():
+    rows, one = packed(packing.TIERS, True), packed((1024,), True)
+    lengths = defaultdict(int)
+    opened = {}
+    for r in rows:
+        lengths[r[5]] += r[2]
+        opened[r[5]] = max(opened.get(r[5], 0), r[2])
+    # sequences of every tier, full but for the tasks' last ones, and opened by a leftover of that tier
+    sizes = list(lengths.values())
+    assert all(sizes.count(t) > 5 for t in packing.TIERS)
+    assert sum(s not in packing.TIERS for s in sizes) < 40
+    assert [r[:2] for r in rows] != [r[:2] for r in one] and {sum(r[2] for r in x) for x in (rows, one)} == {sum(sizes)}
+    tier_of = {r[5]: r[8] for r in rows}
+    assert all(opened[s] > tier_of[s] // 2 for s in lengths if lengths[s] == tier_of[s] > 64)
+
+
+def test_leftovers_go_to_the_smallest_tier():
+    tiers = packing.Tiers((4, 8))
+    piece = lambda n: packing.Piece(n, 0, np.zeros(n, np.uint32), n)
+    for n in (3, 4, 5, 8):
+        tiers.add(piece(n))
+    assert [p.n for p in tiers.pools] == [2, 2]
+    assert [[len(p.ids) for p in s] for s in packing.pack(tiers, last=True)] == [[8], [5, 3], [4]]
+    with pytest.raises(ValueError):
+        packing.pack_documents(None, b"", tiers=(8, 4))
