@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexigauge.llm import exact_dedup, jaccard_join, language_id, packing, quality_rules
-from lexigauge.llm.common import staged, table
+from lexigauge.llm.common import scratch, staged, table
 from lexigauge.llm.queries import vocabulary
 
 
@@ -50,10 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each one's result is written and read again."""
+    """All stages on ``documents``; each one's result is written and read again.
+
+    What a stage wrote on its way, and what it read, goes as soon as its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, f"pipeline-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark, and_before=min(k, 1)):
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
