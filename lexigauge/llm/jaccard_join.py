@@ -4,10 +4,11 @@ A document's tokens are its distinct 5-word shingles. All documents with the sam
 and classes are joined. Two sets can only be similar if they share most of the tokens of either; so
 with the tokens in a global order from rare to frequent, a prefix of each set is enough to meet.
 
-Counting. Tokens are dealt out by their hash, a list for each block of documents, and come back
-marked with the number of sets that hold them. A token that no other set holds can't be shared: it
-counts against the set's allowance of missing tokens, and a set that has more such tokens than the
-allowance is done, which ends the matter for most documents.
+Counting. A block of documents counts its own tokens first and deals out the distinct ones by their
+hash, so a token that a third of all documents hold is one entry a block. They come back with the
+number of sets that hold them. A token that no other set holds can't be shared: it counts against the
+set's allowance of missing tokens, and a set that has more such tokens than the allowance is done,
+which ends the matter for most documents.
 
 Signatures. Of the remaining tokens each set takes a prefix. Rare tokens are indexed singly. Tokens of
 the frequent classes are indexed as combinations of k tokens (k = 2, then 3), because single ones
@@ -60,13 +61,25 @@ PAIR_SETS, PAIR_TOKENS = 512, 1_000_000
 LEAST = 4
 
 
+#: A token's bucket has its lowest byte, whatever the number of buckets; the other seven are written.
+LOW = 256
+
+
+def _buckets(partitions: int) -> int:
+    return LOW * -(-partitions // LOW)
+
+
+def _bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return (tokens % np.uint64(LOW) + LOW * (textvec.mix(tokens) % np.uint64(buckets // LOW))).astype(np.int64)
+
+
 def _bytes7(tokens: np.ndarray) -> bytes:
     """The upper seven bytes of each token, plane by plane."""
     return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 1:].T).tobytes()
 
 
 def _tokens7(data: bytes, low: int) -> np.ndarray:
-    """Tokens from their upper seven bytes; the lowest is the bucket's, which all of them share."""
+    """Tokens from their upper seven bytes and the lowest, which all of them share."""
     n = len(data) // 7
     out = np.empty((n, 8), np.uint8)
     out[:, 1:] = np.frombuffer(data, np.uint8).reshape(7, n).T
@@ -85,14 +98,16 @@ CUT = pa.schema(
         ("of_doc", pa.list_(pa.int32())),
         ("sizes", pa.list_(pa.int32())),
         ("keys", pa.list_(pa.int64())),
+        ("added", pa.binary()),
+        ("again", pa.binary()),
+        ("codes", pa.binary()),
         ("tokens", pa.binary()),
-        ("counts", pa.binary()),
         ("holders", pa.binary()),
     ]
 )
 CUT_DDL = (
     "bucket int, block string, doc_ids array<bigint>, texts array<bigint>, of_doc array<int>, sizes array<int>, keys array<bigint>, "
-    "tokens binary, counts binary, holders binary"
+    "added binary, again binary, codes binary, tokens binary, holders binary"
 )
 
 
@@ -133,34 +148,50 @@ class Block:
         self.texts.append(text)
         self.of_doc.append(at)
 
-    def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, buckets: int) -> pa.RecordBatch:
+        """The block's own row, and a row of distinct tokens for each bucket.
+
+        The block numbers its tokens as they come, set by set. So a set is a run of numbers that it
+        adds (``added`` is how many) and those that earlier sets had (``again``).
+        """
         keys = np.array([k for pair in self.number for k in pair], np.uint64).view(np.int64)
         sizes = np.fromiter(map(len, self.sets), np.int32, len(self.sets))
         name = xxhash.xxh3_128(keys.tobytes() + repr((self.place, self.doc_ids)).encode()).hexdigest()
         own = int(name[:8], 16) % buckets
-        yield _rows(
-            [(own, name, self.doc_ids, self.texts, self.of_doc, sizes.tolist(), keys.tolist(), None, None, None)], CUT
-        )
+        row = (own, name, self.doc_ids, self.texts, self.of_doc, sizes.tolist(), keys.tolist())
         if not self.sets:
-            return
+            return _rows([(*row, b"", b"", None, None, None)], CUT)
         flat = np.concatenate(self.sets)
-        holder = np.repeat(np.arange(len(self.sets), dtype=np.uint16), sizes)
-        bucket = (flat % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")  # by bucket, then by set
-        flat, holder = flat[order], holder[order]
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-        for b in range(buckets):
+        order = np.argsort(flat)
+        flat = flat[order]
+        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        holders = np.diff(np.append(starts, len(flat)))
+        first = np.minimum.reduceat(order, starts)
+        new = np.zeros(len(flat), bool)
+        new[first] = True
+        code = (np.cumsum(new) - 1)[first]
+        codes = np.empty(len(flat), np.uint32)
+        codes[order] = np.repeat(code, holders)
+        added = np.add.reduceat(new, np.cumsum(sizes) - sizes, dtype=np.int64)
+        out = [(*row, _ints(added), _ints(codes[~new]), None, None, None)]
+        tokens = flat[starts]
+        bucket = _bucket_of(tokens, buckets)
+        by = np.argsort(bucket << 32 | code)
+        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        tokens, code, holders = tokens[by], code[by], holders[by]
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
             lo, hi = cuts[b], cuts[b + 1]
-            if lo < hi:
-                counts = np.bincount(holder[lo:hi], minlength=len(self.sets)).astype("<u4")
-                yield _rows([(b, name, None, None, None, None, None, _bytes7(flat[lo:hi]), _counts(counts), None)], CUT)
+            steps = np.diff(code[lo:hi], prepend=0)
+            out.append((b, name, *[None] * 7, _ints(steps), _bytes7(tokens[lo:hi]), _ints(holders[lo:hi])))
+        return _rows(out, CUT)
 
 
-def _counts(values: np.ndarray) -> bytes:
+def _ints(values: np.ndarray) -> bytes:
+    """32-bit integers by byte plane."""
     return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _from_counts(data: bytes) -> np.ndarray:
+def _from_ints(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
 
 
@@ -178,39 +209,43 @@ def _cut(buckets: int, width: int):
                     own = np.unique(sh[bounds[k] : bounds[k + 1]])
                     block.add(ids[lo + k], own, keys[lo + k])
                     if block.tokens >= BLOCK_TOKENS or len(block.doc_ids) >= BLOCK_SETS:
-                        yield from block.rows(buckets)
+                        yield block.rows(buckets)
                         number += 1
                         block = Block(f"{task}:{number}")
         if block.doc_ids:
-            yield from block.rows(buckets)
+            yield block.rows(buckets)
 
     return run
 
 
 def _count_bucket(group: pa.Table) -> pa.Table:
-    """Marks the tokens of a bucket that two sets or more hold; the blocks' own rows pass."""
-    out = [group.filter(pc.is_null(group["tokens"]))]
+    """The tokens of a bucket that two sets or more hold, and how many; the blocks' own rows pass."""
+    out = [group.filter(pc.is_null(group["tokens"])).cast(CUT)]
     lists = group.filter(pc.is_valid(group["tokens"]))
     if not lists.num_rows:
         return out[0]
-    blocks, bucket = lists["block"].to_pylist(), lists["bucket"][0].as_py()
-    parts = [_tokens7(t, 0) for t in lists["tokens"].to_pylist()]
+    bucket = lists["bucket"][0].as_py()
+    parts = [_tokens7(t, bucket % LOW) for t in lists["tokens"].to_pylist()]
     flat = np.concatenate(parts)
-    ordered = np.sort(flat)
+    n = np.concatenate([_from_ints(h) for h in lists["holders"].to_pylist()]).astype(np.int64)
+    order = np.argsort(flat)
+    ordered = flat[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    n = np.diff(np.append(first, len(ordered)))
-    shared, holders = ordered[first][n > 1], n[n > 1]
-    del ordered, first, n
-    rows = []
-    for block, tokens, counts in zip(blocks, parts, lists["counts"].to_pylist(), strict=True):
-        at = np.searchsorted(shared, tokens)
-        at[at == len(shared)] = 0
-        hit = (shared[at] == tokens) if len(shared) else np.zeros(len(tokens), bool)
-        own = np.repeat(np.arange(len(counts) // 4), _from_counts(counts))
-        left = np.bincount(own[hit], minlength=len(counts) // 4)
-        rows.append((bucket, block, None, None, None, None, None, _bytes7(tokens[hit]), _counts(left), _counts(holders[at[hit]])))
-    out.append(pa.Table.from_batches([_rows(rows, CUT)]))
-    return pa.concat_tables([out[0].cast(CUT), out[1]])
+    total = np.add.reduceat(n[order], first)
+    holders = np.empty(len(flat), np.int64)
+    holders[order] = np.repeat(total, np.diff(np.append(first, len(ordered))))
+    del ordered, order, n
+    rows, at = [], 0
+    for block, tokens, steps in zip(lists["block"].to_pylist(), parts, lists["codes"].to_pylist(), strict=True):
+        mine = holders[at : at + len(tokens)]
+        at += len(tokens)
+        hit = mine > 1
+        if hit.any():
+            codes = np.cumsum(_from_ints(steps), dtype=np.int64)[hit]
+            rows.append((bucket, block, *[None] * 7, _ints(np.diff(codes, prepend=0)), _bytes7(tokens[hit]), _ints(mine[hit])))
+    if rows:
+        out.append(pa.Table.from_batches([_rows(rows, CUT)]))
+    return pa.concat_tables(out)
 
 
 # ---------------------------------------------------------------- sets and signatures
@@ -219,27 +254,23 @@ SETS = "cid bigint, n int, tokens binary, holders binary"
 
 
 def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Sets that may have a partner, from a block's classes (left) and its marked tokens (right)."""
-    rows = left.to_pylist()
-    own = {r["at"]: r["cid"] for r in rows}
-    size = {r["at"]: r["n"] for r in rows}
-    tokens, holders, which = [], [], []
-    for r in right.to_pylist():
-        counts = _from_counts(r["counts"])
-        tokens.append(_tokens7(r["tokens"], r["bucket"] & 255))
-        holders.append(_from_counts(r["holders"]))
-        which.append(np.repeat(np.arange(len(counts), dtype=np.int32), counts))
+    """Sets that may have a partner, from a block's classes (left) and its own row and shared tokens (right)."""
     out = []
-    if tokens:
-        tokens, holders, which = np.concatenate(tokens), np.concatenate(holders), np.concatenate(which)
-        order = np.argsort(which, kind="stable")
-        tokens, holders, which = tokens[order], holders[order], which[order]
-        cuts = np.searchsorted(which, np.arange(which[-1] + 2)) if len(which) else np.zeros(1, np.int64)
-        for at, cid in own.items():
-            if at + 1 < len(cuts) and 100 * (cuts[at + 1] - cuts[at]) >= PERCENT * size[at]:
-                t, h = tokens[cuts[at] : cuts[at + 1]], holders[cuts[at] : cuts[at + 1]]
+    for r in right.filter(pc.is_null(right["tokens"])).to_pylist():
+        sizes, added, again = np.array(r["sizes"], np.int64), _from_ints(r["added"]).astype(np.int64), _from_ints(r["again"])
+        tokens, holders = np.zeros(int(added.sum()), np.uint64), np.zeros(int(added.sum()), np.uint32)
+        for t in right.filter(pc.is_valid(right["tokens"])).to_pylist():
+            codes = np.cumsum(_from_ints(t["codes"]), dtype=np.int64)
+            tokens[codes] = _tokens7(t["tokens"], t["bucket"] % LOW)
+            holders[codes] = _from_ints(t["holders"])
+        ends, past = np.cumsum(added), np.cumsum(sizes - added)
+        for at, n, cid in zip(left["at"].to_pylist(), left["n"].to_pylist(), left["cid"].to_pylist(), strict=True):
+            codes = np.concatenate([np.arange(ends[at] - added[at], ends[at]), again[past[at] - sizes[at] + added[at] : past[at]]])
+            shared = codes[holders[codes] > 0]
+            if 100 * len(shared) >= PERCENT * n:
+                t = tokens[shared]
                 by = np.argsort(t)
-                out.append((cid, size[at], t[by].tobytes(), h[by].astype("<u4").tobytes()))
+                out.append((cid, n, t[by].tobytes(), holders[shared[by]].astype("<u4").tobytes()))
     columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
     return pa.table(
         {
@@ -497,7 +528,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     has 0 shingles and is its own component. Rows that repeat an id come back one for one: equal
     sets are one class however their ids are; a null id stands for no one unless its component has
     no other. An empty table gives no rows; other columns of ``docs`` are ignored. Shingles are
-    compared as 61-bit hashes or longer.
+    compared as 64-bit hashes.
     """
     return _joined(docs, width).drop("key")
 
@@ -505,7 +536,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def _joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``jaccard_join`` with the key of each row's text."""
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
+    buckets = _buckets(shuffle_partitions(spark))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_key("text").alias("key"))
     counted = rows.mapInArrow(_cut(buckets, width), CUT_DDL).groupBy("bucket").applyInArrow(_count_bucket, CUT_DDL)
     counted = counted.withColumn("kind", F.col("tokens").isNotNull().cast("int"))
@@ -519,7 +550,7 @@ def _joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     classes = local.groupBy("n", "k1", "k2").agg(F.min(F.struct("block", "at")).alias("home"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     homes = classes.select(F.col("home.block").alias("block"), F.col("home.at").alias("at"), "n", "cid")
-    marked = counted.where("kind = 1").select("bucket", "block", "tokens", "counts", "holders")
+    marked = counted.select("bucket", "block", "sizes", "added", "again", "codes", "tokens", "holders")
     sets = homes.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(_assemble, SETS)
     sets = staged(sets, "jaccard-sets")
     release(spark)
