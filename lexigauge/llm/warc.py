@@ -6,10 +6,13 @@ any store that Spark can write will do and a lost executor's run is written agai
 
 Reading parses every record of every segment and checks each response's digest against its payload.
 
-Merging. The index entries (no payloads) are dealt out by ranges of (URL key, time, page id); a task
-gets a slice of each run, already in order, and merges the slices with a loser tree, log2(runs)
-comparisons an entry. Read partition after partition the histories are in global order. A url with
-very many captures is split by time among tasks.
+Merging. The index entries (no payloads) are dealt out by ranges of (URL key, time, page id), as an
+external merge is done by many tasks at once: the ranges cut every run into slices, and a task merges
+its slices with a loser tree, log2(slices) comparisons an entry. The slices come as they were written
+and are never sorted again: where an entry is not behind the one before it, another slice begins. The
+number of ranges follows the number of entries, so a task holds about MERGE_ENTRIES of them, however
+large the runs are; they stay Arrow columns but for their keys. Read partition after partition the
+histories are in global order. A url with very many captures is split by time among tasks.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .common import shuffle_partitions, staged
 RUN_BYTES = 32 << 20
 SEGMENT_BYTES = 4 << 20
 MIN_REVISIT_BYTES = 0
+#: Index entries that a merging task holds, about.
+MERGE_ENTRIES = 100_000
 #: Captures without a time of their own are this many seconds after it as their page id says.
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -290,26 +295,37 @@ class LoserTree:
             self._play(k)
 
 
-def _order(row: dict) -> tuple:
-    return row["url_key"], row["capture_time"], row["page_id"] is not None, row["page_id"] or 0
+def _keys(batch: pa.RecordBatch) -> list[tuple]:
+    """What orders the entries: a null page id comes before all others."""
+    keys, times, ids = (batch.column(c).to_pylist() for c in ("url_key", "capture_time", "page_id"))
+    return [(k, t, i is not None, i or 0) for k, t, i in zip(keys, times, ids, strict=True)]
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, keys = [], []
+    slices: list[list[int]] = []  # row numbers, each list in order
+    newest: dict[str, list[int]] = {}
+    for batch in batches:
+        at = len(keys)
+        keys += _keys(batch)
+        held.append(batch)
+        for row, run in enumerate(batch.column("run").to_pylist(), at):
+            own = newest.get(run)
+            if own is None or keys[own[-1]] > keys[row]:
+                own = newest[run] = []
+                slices.append(own)
+            own.append(row)
+    if held:
+        order = pa.array(list(LoserTree(slices, keys.__getitem__)), pa.int64())
+        table = pa.Table.from_batches(held)
+        for lo in range(0, len(order), 10_000):
+            yield from table.take(order.slice(lo, 10_000)).combine_chunks().to_batches()
 
 
 def merge_indexes(entries: DataFrame, partitions: int | None = None) -> DataFrame:
     """The entries in global order of (url_key, capture_time, page_id): partition by partition, row by row."""
-    n = partitions or shuffle_partitions(entries.sparkSession)
-    names = entries.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[dict]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                slices.setdefault(row["run"], []).append(row)
-        for rows in slices.values():  # in order already, unless a shuffle delivered blocks of a run out of turn
-            rows.sort(key=lambda r: r["seq"])
-        merged = LoserTree([slices[k] for k in sorted(slices)], _order)
-        yield from _batches((tuple(r[c] for c in names) for r in merged), _arrow(ENTRY))
-
-    return entries.repartitionByRange(n, "url_key", "capture_time", "page_id").mapInArrow(run, ENTRY)
+    n = partitions or max(shuffle_partitions(entries.sparkSession), -(-entries.count() // MERGE_ENTRIES))
+    return entries.repartitionByRange(n, "url_key", "capture_time", "page_id").mapInArrow(_merge, ENTRY)
 
 
 def warc_histories(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
