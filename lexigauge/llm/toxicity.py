@@ -6,6 +6,8 @@ model, and that backs off to the continuation counts of all documents, which bot
 expression keeps counts of its own in the classes only where they differ significantly (two-proportion
 z test over documents); everything else, rare expressions above all, is left to the shared counts
 and so costs both models alike. Counts are of documents, so a text that repeats a word counts once.
+Without that test the labelled texts are too few: what chance puts in a class outweighs what marks
+it (README, with figures).
 
 The order and the z level are those of a fixed few that separate a calibration fold best, and a
 logistic curve fitted to that fold turns the difference into a score.
