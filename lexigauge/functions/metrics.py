@@ -2,12 +2,15 @@
 
 Edit distances are the built-in code-point ``levenshtein`` behind the shortcuts that the optimizer
 doesn't know: equal texts and empty texts need no matrix. Word distances map each distinct word of a
-pair to one code point first. Only the n-gram score, whose multiset overlap no built-in computes in
-less than quadratic time, is an Arrow UDF, and that one is vectorised over the whole batch.
+pair to one code point first. Two things are Arrow UDFs: the n-gram score, whose multiset overlap no
+built-in computes in less than quadratic time, vectorised over the whole batch; and the distance of
+whole pages, by bit vectors.
 """
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -15,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .text import RARE_CHARS, column, length_bucket, normalize, only_rare, page_tokens, words
 
-#: First code point that stands for a word, and how many there are before the surrogates.
-WORD_BASE, MAX_WORDS = 0x4E00, 0xD800 - 0x4E00
+#: First code point that stands for a word, and how many follow.
+WORD_BASE, MAX_WORDS = 0x10000, 0x100000
 
 
 def let(value: Column, body) -> Column:
@@ -50,13 +53,13 @@ def cer(ref: Column | str, hyp: Column | str) -> Column:
 def _as_code_points(own: Column, all_words: Column) -> Column:
     """One code point per word: its number among the pair's distinct words."""
     code = lambda w: F.decode(
-        F.unhex(F.lpad(F.hex(F.lit(WORD_BASE - 1) + F.array_position(all_words, w)), 4, "0")), "UTF-16BE"
+        F.unhex(F.lpad(F.hex(F.lit(WORD_BASE - 1) + F.array_position(all_words, w)), 8, "0")), "UTF-32"
     )
     return F.array_join(F.transform(own, code), "")
 
 
 def word_distance(ref_words: Column, hyp_words: Column) -> Column:
-    """Edit distance of word lists; a pair may have 35,328 different words, more raise an error."""
+    """Edit distance of word lists; a pair may have 1,048,576 different words, more raise an error."""
 
     def of_lists(p: Column) -> Column:
         coded = lambda q: F.struct(
@@ -73,6 +76,47 @@ def word_distance(ref_words: Column, hyp_words: Column) -> Column:
     return let(F.struct(ref_words.alias("r"), hyp_words.alias("h")), of_lists)
 
 
+def bit_distance(a, b) -> int:
+    """Edit distance of two sequences by bit vectors: a column of the matrix is two integers of len(a) bits."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b)
+    where: dict = {}
+    for k, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << k
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    plus, minus, edits = full, 0, len(a)
+    for x in b:
+        same = where.get(x, 0)
+        level = (((same & plus) + plus) ^ plus) | same | minus
+        up = minus | (full ^ (level | plus) & full)
+        down = plus & level
+        edits += (up & top > 0) - (down & top > 0)
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        plus, minus = down | (full ^ (same | minus | up) & full), up & (same | minus)
+    return edits
+
+
+def long_distance(a: Column | str, b: Column | str) -> Column:
+    """Edit distance of long texts: an Arrow function that takes a word of bits where the matrix has cells.
+
+    What two texts begin and end with alike is left out first.
+    """
+
+    @F.pandas_udf("int")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for s, t in zip(x, y, strict=True):
+            n = len(commonprefix((s, t)))
+            s, t = s[n:], t[n:]
+            m = len(commonprefix((s[::-1], t[::-1])))
+            out.append(bit_distance(s[: len(s) - m], t[: len(t) - m]))
+        return pd.Series(out, dtype="int32")
+
+    return distance(column(a), column(b))
+
+
 def wer(ref: Column | str, hyp: Column | str) -> Column:
     """Word edits per reference word."""
     r, h = words(ref), words(hyp)

@@ -106,6 +106,16 @@ def failure_distribution(classified: DataFrame) -> DataFrame:
     return classified.groupBy("failure_mode").agg(F.count(F.lit(1)).alias("count"), F.avg("cer").alias("mean_cer"))
 
 
+def failure_table(classified: DataFrame) -> DataFrame:
+    """(id, cer with six digits, failure_mode, image_url) of every record, for a CSV file."""
+    return classified.select(
+        F.coalesce(F.col("sample_id").cast("string"), F.lit("")).alias("id"),
+        F.format_string("%.6f", F.col("cer").cast("double")).alias("cer"),
+        "failure_mode",
+        F.coalesce(F.col("image_url").cast("string") if "image_url" in classified.columns else F.lit(""), F.lit("")).alias("image_url"),
+    )
+
+
 def is_hard(cer: Column | str = "cer") -> Column:
     """Whether the record is worth another look: a lower bar for hard pages and layouts."""
     cer = text.column(cer)
@@ -135,36 +145,41 @@ def hard_reasons(min_cer: float = 0.10, min_rare_cer: float = 0.15, rare: str =
 def qualitative(records: DataFrame, per_group: int = 10, rare: str = text.RARE_CHARS) -> DataFrame:
     """Examples of five kinds, ``per_group`` of each, records in ``pos`` order where nothing else decides."""
     ref, hyp = F.col("reference"), F.col("prediction")
-    scored = records.withColumn("cer", metrics.cer(ref, hyp)).withColumn("_rare", ref.rlike(f"[{rare}]"))
-    first = lambda rows, name, *order: (
-        rows.orderBy(*order, "pos").limit(per_group).withColumn("qualitative_group", F.lit(name))
-    )
     wrong = F.exists(
         metrics.positional_diff(ref, hyp), lambda d: (d["status"] != "match") & d["reference"].isin(*rare)
     )
     short = (F.trim(hyp) == "") | (F.char_length(hyp) < F.char_length(ref) * 0.7)
+    row = F.struct(*records.columns, metrics.cer(ref, hyp).alias("cer"))
+    rare_ref = ref.rlike(f"[{rare}]")
+    cer, pos = F.col("r.cer"), F.col("pos")
+    # (name, who belongs, order): each record is scored once, then stands in every group it belongs to
     groups = [
-        first(scored, "best_line_predictions", "cer"),
-        first(scored, "worst_line_failures", F.desc("cer")),
-        first(scored.where(F.col("_rare") & (ref == hyp)), "rare_character_successes"),
-        first(scored.where(F.col("_rare") & wrong), "rare_character_substitutions"),
-        first(scored.where(short), "empty_or_too_short_failures"),
+        ("best_line_predictions", F.lit(True), cer),
+        ("worst_line_failures", F.lit(True), -cer),
+        ("rare_character_successes", rare_ref & (ref == hyp), F.lit(0.0)),
+        ("rare_character_substitutions", rare_ref & wrong, F.lit(0.0)),
+        ("empty_or_too_short_failures", short, F.lit(0.0)),
     ]
-    out = groups[0]
-    for g in groups[1:]:
-        out = out.unionByName(g)
-    once = Window.partitionBy("qualitative_group", "sample_id").orderBy("pos")
-    return out.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n", "_rare")
+    rows = records.select("pos", "sample_id", row.alias("r"), *[who.alias(f"g{k}") for k, (_, who, _) in enumerate(groups)])
+    member = F.array_compact(
+        F.array(*[F.when(F.col(f"g{k}"), F.struct(F.lit(name).alias("name"), rank.alias("rank"))) for k, (name, _, rank) in enumerate(groups)])
+    )
+    rows = rows.select("pos", "sample_id", "r", F.explode(member).alias("g"))
+    best = Window.partitionBy("g.name").orderBy("g.rank", "pos")
+    rows = rows.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= per_group)
+    once = Window.partitionBy("g.name", "sample_id").orderBy("pos")
+    rows = rows.withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    return rows.select("r.*", F.col("g.name").alias("qualitative_group"))
 
 
 def page_diagnosis(pages: DataFrame) -> DataFrame:
-    """Page metrics and an error type for each page (reference, prediction)."""
+    """Page metrics and an error type for each page (reference, prediction); pages are long, so their distance goes by bit vectors."""
     rows = pages.withColumn("gt_n", text.normalize("reference")).withColumn("pred_n", text.normalize("prediction"))
     rows = (
         rows.withColumn("gt_len", F.char_length("gt_n"))
         .withColumn("pred_len", F.char_length("pred_n"))
         .withColumn("length_ratio", metrics.length_ratio("gt_n", "pred_n"))
-        .withColumn("cer", metrics.cer("gt_n", "pred_n"))
+        .withColumn("cer", metrics.long_distance("gt_n", "pred_n") / F.greatest(F.lit(1), F.col("gt_len")))
         .withColumn("wer", metrics.wer_page("gt_n", "pred_n"))
         .withColumn("bag", metrics.bag_of_words("gt_n", "pred_n"))
     )

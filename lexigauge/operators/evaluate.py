@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import metrics as M
+from ..functions import text
+
 #: The gate's thresholds.
 GATE = {
     "max_cer": 0.10,
@@ -22,28 +25,80 @@ GATE = {
 }
 
 
+def _means(metrics: DataFrame) -> dict[str, Column]:
+    """What is averaged over the records that have it, by reported name."""
+    named = {"cer": "cer", "wer": "wer", "chrf": "chrf", "rare_char_cer": "rare_char_cer", "exact_match": "exact_match"}
+    out = {name: F.col(c) for name, c in named.items() if c in metrics.columns}
+    out["exact_match_short"] = F.when(F.col("bucket") == "short", F.col("exact_match"))
+    out |= {
+        "length_ratio": F.col("length_ratio"),
+        "empty_prediction_rate": F.col("empty"),
+        "too_short_rate": F.col("too_short"),
+        "too_long_rate": F.col("too_long"),
+        "latency_ms_per_crop": F.col("latency_ms"),
+    }
+    if "invalid_charset" in metrics.columns:
+        out["invalid_charset_rate"] = F.col("invalid_charset")
+    return out
+
+
 def summary_columns(metrics: DataFrame) -> list[Column]:
     """One aggregate per reported metric; null where no record counts. Macro and micro CER both."""
-    mean = lambda c, name: F.avg(c).alias(f"val_rec_{name}")
-    out = [
-        F.count(F.lit(1)).cast("double").alias("val_rec_count"),
+    out = [F.avg(c).alias(f"val_rec_{name}") for name, c in _means(metrics).items()]
+    micro = (F.sum("edits") / F.greatest(F.lit(1), F.sum("ref_len"))).alias("val_rec_cer_micro")
+    return [F.count(F.lit(1)).cast("double").alias("val_rec_count"), out[0], micro, *out[1:]]
+
+
+def partial_sums(metrics: DataFrame, key: str) -> DataFrame:
+    """Sums per ``key`` that can be added up over parts of the records, and become a summary in the end."""
+    sums = [F.struct(F.sum(c).alias("s"), F.count(c).alias("n")).alias(name) for name, c in _means(metrics).items()]
+    return metrics.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum("edits").alias("_edits"), F.sum("ref_len").alias("_ref_len"), *sums)
+
+
+def from_partials(partials: DataFrame, key: str) -> DataFrame:
+    """The summary of all records whose partial sums are there: the same columns as by ``summary_columns``."""
+    names = [c for c in partials.columns if c not in (key, "_n", "_edits", "_ref_len", "batch")]
+    mean = lambda name: F.try_divide(F.sum(f"{name}.s"), F.sum(f"{name}.n")).alias(f"val_rec_{name}")
+    micro = (F.sum("_edits") / F.greatest(F.lit(1), F.sum("_ref_len"))).alias("val_rec_cer_micro")
+    out = [mean(n) for n in names]
+    return partials.groupBy(key).agg(F.sum("_n").cast("double").alias("val_rec_count"), out[0], micro, *out[1:])
+
+
+def legacy_summary(records: DataFrame, rare: str = text.RARE_CHARS) -> DataFrame:
+    """One row of the older metrics: WER over characters, chrF with beta 2, rare counts, CER of records with rare letters."""
+    r, h = F.col("ref_n"), F.col("hyp_n")
+    rows = records.withColumn("ref_n", text.normalize("reference")).withColumn("hyp_n", text.normalize("prediction"))
+    rows = rows.withColumn("cer", M.cer(r, h)).withColumn("length_ratio", M.length_ratio(r, h))
+    rows = rows.withColumn("wer", M.wer_legacy(r, h)).withColumn("chrf", M.chrf(r, h, 2.0))
+    count = lambda c: sum((text.count_char(F.lower(c), x) for x in rare), F.lit(0))
+    both = sum((F.least(text.count_char(F.lower("reference"), x), text.count_char(F.lower("prediction"), x)) for x in rare), F.lit(0))
+    mean = lambda c, name: F.avg(c).alias(name)
+    return rows.agg(
+        F.count(F.lit(1)).alias("count"),
         mean("cer", "cer"),
-        (F.sum("edits") / F.greatest(F.lit(1), F.sum("ref_len"))).alias("val_rec_cer_micro"),
         mean("wer", "wer"),
-        mean("rare_char_cer", "rare_char_cer"),
-        mean("exact_match", "exact_match"),
-        mean(F.when(F.col("bucket") == "short", F.col("exact_match")), "exact_match_short"),
+        mean(M.ned_similarity(r, h), "ned_similarity"),
+        mean("chrf", "chrf"),
+        mean(M.exact_match(r, h), "exact_match"),
         mean("length_ratio", "length_ratio"),
-        mean("empty", "empty_prediction_rate"),
-        mean("too_short", "too_short_rate"),
-        mean("too_long", "too_long_rate"),
-        mean("latency_ms", "latency_ms_per_crop"),
-    ]
-    if "chrf" in metrics.columns:
-        out.insert(4, mean("chrf", "chrf"))
-    if "invalid_charset" in metrics.columns:
-        out.append(mean("invalid_charset", "invalid_charset_rate"))
-    return out
+        F.sum(count("reference")).alias("rare_char_gt_count"),
+        F.sum(count("prediction")).alias("rare_char_predicted_count"),
+        F.sum(both).alias("rare_char_correct_count"),
+        mean(F.when(text.has_rare("reference", rare), F.col("cer")), "rare_char_cer"),
+        mean((h == "").cast("double"), "empty_prediction_rate"),
+        mean((F.col("length_ratio") < 0.70).cast("double"), "too_short_rate"),
+        mean((F.col("length_ratio") > 1.30).cast("double"), "too_long_rate"),
+    )
+
+
+#: Length buckets from short to long.
+BUCKETS = ("short", "medium", "long", "very_long")
+
+
+def in_bucket_order(table: DataFrame, bucket: str = "bucket") -> DataFrame:
+    """A table by length bucket, from short to long; others come last."""
+    at = F.array_position(F.array(*map(F.lit, BUCKETS)), F.col(bucket))
+    return table.withColumn("bucket_no", F.when(at > 0, at.cast("int"))).orderBy(F.col("bucket_no").asc_nulls_last(), bucket)
 
 
 def overall(metrics: DataFrame) -> DataFrame:
@@ -145,10 +200,8 @@ def percent_table(metrics: DataFrame, key: str, baseline_cer: float | None = Non
         columns["chrf"] = F.avg("chrf")
     named = F.coalesce(F.col(key).cast("string"), F.lit("unknown")).alias(key)
     out = metrics.groupBy(named).agg(*[c.alias(n) for n, c in columns.items()])
-    from pyspark.sql import Window
-
-    # one row per value is left: the window over them all is small
-    out = out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = out.agg(F.sum("n").alias("_total"))
+    out = out.crossJoin(total).withColumn("share", F.col("n") / F.col("_total")).drop("_total")  # one row
     if baseline_cer is not None:
         out = out.withColumn("cer_delta_pp", F.col("cer") - baseline_cer)
     if digits is not None:

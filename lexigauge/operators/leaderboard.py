@@ -27,6 +27,18 @@ def ordered(board: DataFrame, by: str = "benchmark", cer: str = "val_rec_cer") -
     return board.orderBy(by, F.coalesce(F.nullif(F.col(cer), F.lit(0.0)), F.lit(1.0)))
 
 
+#: The columns of a leaderboard file, in their order.
+FILE_COLUMNS = (
+    "benchmark", "model", "status", "val_rec_count", "val_rec_cer", "val_rec_wer", "val_rec_chrf", "val_rec_exact_match",
+    "val_rec_rare_char_cer", "val_rec_latency_ms_per_crop", "error",
+)
+
+
+def file_rows(board: DataFrame) -> DataFrame:
+    """The board with a leaderboard file's columns; what it lacks is null."""
+    return board.select(*[F.col(c) if c in board.columns else F.lit(None).cast("string").alias(c) for c in FILE_COLUMNS])
+
+
 def deltas(current: DataFrame, baseline: DataFrame, key: str = "benchmark") -> DataFrame:
     """Differences of the metrics both sides have, and the relative reduction of CER."""
     names = [c for c in COMPARED if c in current.columns and c in baseline.columns]

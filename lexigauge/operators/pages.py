@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
+from .windows import numbered
 
 ZONE_TYPES = ("zone", "table_cell", "field")
 
@@ -91,6 +93,74 @@ def oracle_pages(pages: DataFrame, zones: DataFrame, predictions: DataFrame) ->
     return pages.join(built, "page_id").withColumn("failed_zone_rate", F.col("failed_zones") / F.col("zone_count"))
 
 
+def oracle_summary(scored: DataFrame) -> DataFrame:
+    """One row for pages with their metrics: means over pages, and failed zones over all zones."""
+    mean = lambda c: F.avg(c).alias(c)
+    return scored.agg(
+        F.count(F.lit(1)).alias("page_count"),
+        F.sum("zone_count").alias("crop_count"),
+        *[mean(c) for c in ("cer", "wer", "exact_match", "length_ratio") if c in scored.columns],
+        F.avg((F.col("hyp_n") == "").cast("double")).alias("empty_prediction_rate"),
+        (F.sum("failed_zones") / F.greatest(F.lit(1), F.sum("zone_count"))).alias("failed_zone_rate"),
+    )
+
+
+def full_page_text(groups: DataFrame, predictions: DataFrame, order: str = "pos") -> DataFrame:
+    """``groups`` (page_id, pos, ...) with what a full-page model (model, id, prediction) read, for each model.
+
+    A prediction is named after its page, or ``row_`` and the page's number in six digits, which wins.
+    """
+    pages = numbered(groups, [order], "_row").withColumn("_name", F.format_string("row_%06d", "_row"))
+    by = lambda key, name: pages.join(
+        predictions.select("model", F.col("id").alias(key), F.col("prediction").alias(name)), key
+    ).select("page_id", "model", name)
+    models = predictions.select("model").distinct()
+    found = by("_name", "_numbered").join(by("page_id", "_named"), ["page_id", "model"], "full")
+    found = found.select("page_id", "model", F.coalesce("_numbered", "_named").alias("prediction"))
+    every = groups.join(models)  # a list of models, one row each
+    return every.join(found, ["page_id", "model"], "left").withColumn("prediction", F.coalesce("prediction", F.lit("")))
+
+
+def model_pages(groups: DataFrame, line_predictions: DataFrame, page_predictions: DataFrame, separator: str = "\n") -> DataFrame:
+    """(page_id, model, eval_mode, reference, prediction) of models that read lines and models that read pages.
+
+    ``groups`` has page_id, pos, gt_text and crop_ids; line predictions model, crop_id and prediction.
+    """
+    crops = groups.select("page_id", F.posexplode("crop_ids").alias("at", "crop_id"))
+    built = crops.join(line_predictions, "crop_id").groupBy("page_id", "model").agg(
+        ordered_text(F.col("at"), F.col("prediction"), separator).alias("prediction")
+    )
+    every = groups.select("page_id", "gt_text").join(line_predictions.select("model").distinct())
+    lines = every.join(built, ["page_id", "model"], "left")
+    whole = full_page_text(groups.select("page_id", "pos", "gt_text"), page_predictions)
+    parts = [
+        rows.select("page_id", "model", F.lit(mode).alias("eval_mode"), F.col("gt_text").alias("reference"), F.coalesce("prediction", F.lit("")).alias("prediction"))
+        for rows, mode in ((lines, "pipeline_line"), (whole, "full_page"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def detected_pages(pages: DataFrame, detect, recognise) -> DataFrame:
+    """``pages`` (page_id, ...) with zones that ``detect`` finds and ``recognise`` reads.
+
+    ``detect`` gives for a page's row (a dictionary) its zones as (zone_id, x1, y1, x2, y2, content);
+    ``recognise`` the text of a content. Both run where the page is; a page without zones is empty.
+    """
+    schema = f"page_id {dict(pages.dtypes)['page_id']}, zone_id string, x1 double, y1 double, x2 double, y2 double, prediction string"
+
+    def run(frames):
+        for frame in frames:
+            rows = [
+                (page["page_id"], str(zone), float(x1), float(y1), float(x2), float(y2), recognise(content))
+                for page in frame.to_dict("records")
+                for zone, x1, y1, x2, y2, content in detect(page)
+            ]
+            yield pd.DataFrame(rows, columns=["page_id", "zone_id", "x1", "y1", "x2", "y2", "prediction"])
+
+    zones = pages.mapInPandas(run, schema).withColumn("box", geometry.box("x1", "y1", "x2", "y2"))
+    return page_text(pages, zones)
+
+
 def widest_gap(boxes: DataFrame) -> DataFrame:
     """(page_id, gap, after): the widest step between neighbouring box centers, the first of equal ones."""
     from pyspark.sql import Window

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled
-from .windows import numbered
+from .windows import numbered, running_total
 
 
 def keep_last(rows: DataFrame, key: str, pos: str) -> DataFrame:
@@ -84,6 +84,22 @@ def unseen(found: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 
 def cumulative(phases: DataFrame, order: str, size: str) -> DataFrame:
-    """Running total of ``size`` over a plan's few phases, rounded at each step's end."""
-    window = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return phases.withColumn("cumulative", F.bround(F.sum(size).over(window), 3))
+    """Running total of ``size`` in ``order`` (a total order), rounded at each step's end; by ranges, not in one task."""
+    return running_total(phases, [order], size, "cumulative").withColumn("cumulative", F.bround("cumulative", 3))
+
+
+def union_shards(shards: list[DataFrame], order: str) -> DataFrame:
+    """All rows of the shards, one shard after the other, each in its own order (``shard`` and ``order`` tell it)."""
+    out = shards[0].withColumn("shard", F.lit(0))
+    for k, rows in enumerate(shards[1:], 1):
+        out = out.unionByName(rows.withColumn("shard", F.lit(k)), allowMissingColumns=True)
+    return out.orderBy("shard", order)
+
+
+def union_tagged(frames: dict[str, DataFrame], name: str) -> DataFrame:
+    """All rows under the union of their columns, with the name of the table each came from."""
+    parts = [rows.withColumn(name, F.lit(k)) for k, rows in frames.items()]
+    out = parts[0]
+    for rows in parts[1:]:
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import RARE_CHARS, has_rare
+from .windows import numbered
 
 
 def draw(seed: int, *keys: str) -> Column:
@@ -18,6 +19,21 @@ def shuffled_take(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     return rows.withColumn("_d", draw(seed, *keys)).orderBy("_d", *keys).limit(n).drop("_d")
 
 
+def fixed_size(rows: DataFrame, n: int, seed: int, pos: str, *keys: str) -> DataFrame:
+    """``n`` rows by hash, in the order they had (``pos``)."""
+    return shuffled_take(rows, n, seed, *keys).orderBy(pos)
+
+
+def first_rows(rows: DataFrame, n: int | None, *order: str) -> DataFrame:
+    """The first ``n`` rows in ``order``, or all."""
+    return rows if n is None else rows.orderBy(*order).limit(n)
+
+
+def split_rows(rows: DataFrame, split: str, limit: int | None, *order: str) -> DataFrame:
+    """The first ``limit`` rows (None: all) with their number in ``_index`` and the split's name in ``_split``."""
+    return numbered(first_rows(rows, limit, *order), list(order), "_index").withColumn("_split", F.lit(split))
+
+
 def round_robin(rows: DataFrame, strata: list[str], n: int, seed: int, *keys: str) -> DataFrame:
     """``n`` rows that take turns among the strata (in order), each stratum in hash order.
 

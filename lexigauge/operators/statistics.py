@@ -50,7 +50,7 @@ RESAMPLED = {
 }
 
 
-def bootstrap(partials: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap(partials: DataFrame, replicates: int = 1000, seed: int = 42, resampled: dict[str, tuple[str, str]] = RESAMPLED) -> DataFrame:
     """(metric, mean, median, std, lo, hi) over resamples of whole pages, for what ``partials`` has sums of.
 
     Replicate b takes as its i-th page the one numbered md5(seed|b|i) modulo the pages, in page order;
@@ -72,8 +72,8 @@ def bootstrap(partials: DataFrame, replicates: int = 1000, seed: int = 42) -> Da
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(name).alias("metric"), (F.col(num) / F.col(den)).alias("v"))
-                    for name, (num, den) in RESAMPLED.items()
+                    F.struct(F.lit(name).alias("metric"), (F.col(num) / F.greatest(F.lit(1), F.col(den))).alias("v"))
+                    for name, (num, den) in resampled.items()
                     if num in partials.columns
                 ]
             )

@@ -23,10 +23,14 @@ def watch_predictions(
 ) -> StreamingQuery:
     """Evaluates and gates the checkpoints of new files under ``folder``; ``sink`` gets (table, batch number).
 
-    ``state`` is the streaming checkpoint: it knows which files were seen, so a restart neither skips
-    nor repeats one. Without ``every`` what is there is processed and the query ends.
+    A checkpoint's files may arrive in several batches: the sums of each batch are kept beside ``state``,
+    and the gate sees the checkpoint's rows of all batches so far. ``is_best`` marks the promoted
+    checkpoint with the least CER of all that were seen. ``state`` is the streaming checkpoint: it knows
+    which files were seen, and a batch that runs again overwrites its own sums, so a restart neither
+    skips nor repeats a row. Without ``every`` what is there is processed and the query ends.
     """
     rows = spark.readStream.schema(manifests.PREDICTIONS).json(folder)
+    sums = f"{state.rstrip('/')}-sums"
 
     def one(batch: DataFrame, number: int) -> None:
         records = batch.select(
@@ -34,9 +38,15 @@ def watch_predictions(
             F.coalesce("reference", "text", F.lit("")).alias("reference"),
             F.coalesce("prediction", F.lit("")).alias("prediction"),
         )
-        scored = metrics.with_metrics(records)
-        summary = scored.groupBy("checkpoint").agg(*evaluate.summary_columns(scored))
-        sink(evaluate.gate(summary, thresholds), number)
+        own = evaluate.partial_sums(metrics.with_metrics(records), "checkpoint")
+        own.write.mode("overwrite").parquet(f"{sums}/batch={number}")
+        kept = spark.read.schema(own.schema.add("batch", "long")).parquet(sums).where(F.col("batch") <= number)
+        now = kept.where(F.col("batch") == number).select("checkpoint").distinct()
+        gated = evaluate.gate(evaluate.from_partials(kept, "checkpoint"), thresholds)
+        best = running_best(gated).select(F.col("checkpoint").alias("_best"))
+        gated = gated.join(best, gated["checkpoint"] == F.col("_best"), "left")
+        gated = gated.withColumn("is_best", F.col("_best").isNotNull()).drop("_best")
+        sink(gated.join(now, "checkpoint", "left_semi"), number)
 
     writer = rows.writeStream.foreachBatch(one).option("checkpointLocation", state)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -149,5 +149,14 @@ def test_stream_sees_each_file_once(spark, tmp_path):
     put("epoch_2", "xxx")
     drain()
     drain()
-    assert [(r["checkpoint"], r["status"]) for r in seen] == [("epoch_1", "PASS"), ("epoch_2", "SMOKE_FAIL")]
-    assert monitor.running_best(spark.createDataFrame(seen)).first()["checkpoint"] == "epoch_1"
+    assert [(r["checkpoint"], r["status"], r["is_best"]) for r in seen] == [("epoch_1", "PASS", True), ("epoch_2", "SMOKE_FAIL", False)]
+
+
+def test_stream_gates_whole_checkpoints(spark, tmp_path):
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+    for part, prediction in enumerate(("abc def", "xxx xxx")):
+        row = {"checkpoint": "epoch_1", "sample_id": str(part), "reference": "abc def", "prediction": prediction}
+        (folder / f"part{part}.jsonl").write_text(json.dumps(row) + "\n")
+        monitor.watch_predictions(spark, str(folder), str(tmp_path / "state"), lambda t, n: seen.extend(t.collect()), every=None).awaitTermination()
+    assert [(r["val_rec_count"], round(r["val_rec_cer"], 4), r["status"]) for r in seen] == [(1.0, 0.0, "PASS"), (2.0, 0.4286, "SMOKE_FAIL")]
