@@ -3,47 +3,133 @@
 Of equally cheap alignments the one is taken that, read from the end, prefers a match or
 substitution, then a deletion, then an insertion. Only the sum and the difference of deletions and
 insertions are the same for every choice.
+
+Pairs of similar size are aligned together, a matrix row of all of them at a time. Of a pair that is
+too large for that only every k-th row is kept, k the root of their number; the way back makes the
+rows between them again. So memory grows with length to the power of 1.5 and not 2.
 """
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 
+#: Cells of the matrices that are held at a time.
+CELLS = 4_000_000
+NAMES = np.array(["sub", "del", "ins"], dtype=object)
+SUB, DEL, INS = range(3)
 
-def align(ref: str, hyp: str) -> list[tuple[str, int, int]]:
-    """(operation, position in ref, position in hyp) of every edit, in order."""
-    start = 0
-    while start < min(len(ref), len(hyp)) and ref[start] == hyp[start]:
-        start += 1
-    a = np.frombuffer(ref[start:].encode("utf-32-le", "surrogatepass"), np.uint32)
-    b = np.frombuffer(hyp[start:].encode("utf-32-le", "surrogatepass"), np.uint32)
-    cost = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+
+def _next_row(row: np.ndarray, i: int, unlike: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Row i of the matrix from the one before; leading axes are pairs."""
+    out = np.empty_like(row)
+    out[..., 0] = i
+    out[..., 1:] = np.minimum(row[..., 1:] + 1, row[..., :-1] + unlike)
+    # an insertion costs one more than its left neighbour: a running minimum of cost less position
+    return np.minimum.accumulate(out - steps, axis=-1) + steps
+
+
+def _align_large(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """(operation, position in a, position in b) of every edit, from the end."""
     steps = np.arange(len(b) + 1, dtype=np.int32)
-    cost[0] = steps
+    every = max(1, int(len(a) ** 0.5))
+    row, kept = steps, {0: steps}
     for i in range(1, len(a) + 1):
-        row = np.empty(len(b) + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (b != a[i - 1]))
-        # an insertion costs one more than its left neighbour: a running minimum of cost less position
-        cost[i] = np.minimum.accumulate(row - steps) + steps
-    out, i, j = [], len(a), len(b)
+        row = _next_row(row, i, b != a[i - 1], steps)
+        if i % every == 0:
+            kept[i] = row
+    out, i, j, rows, first = [], len(a), len(b), [], len(a) + 1
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+        if i - 1 < first and i:
+            first = (i - 1) // every * every
+            rows = [kept[first]]
+            for k in range(first + 1, i + 1):
+                rows.append(_next_row(rows[-1], k, b != a[k - 1], steps))
+        here = rows[i - first][j] if rows else j
+        if i and j and here == rows[i - first - 1][j - 1] + (a[i - 1] != b[j - 1]):
             i, j = i - 1, j - 1
             if a[i] != b[j]:
-                out.append(("sub", start + i, start + j))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+                out.append((SUB, i, j))
+        elif i and here == rows[i - first - 1][j] + 1:
             i -= 1
-            out.append(("del", start + i, start + j))
+            out.append((DEL, i, j))
         else:
             j -= 1
-            out.append(("ins", start + i, start + j))
-    return out[::-1]
+            out.append((INS, i, j))
+    return out
+
+
+def _align_together(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(pair, operation, position in a, position in b) of every edit, each pair's from the end."""
+    la, lb = (np.array([len(x) for x in side]) for side in (a, b))
+    n, m, pairs = int(la.max(initial=0)), int(lb.max(initial=0)), len(a)
+    pa_, pb = np.full((pairs, n), 0x110000, np.uint32), np.full((pairs, m), 0x110001, np.uint32)
+    for k in range(pairs):
+        pa_[k, : la[k]], pb[k, : lb[k]] = a[k], b[k]
+    cost = np.empty((n + 1, pairs, m + 1), np.int32)
+    steps = np.arange(m + 1, dtype=np.int32)
+    cost[0] = steps
+    for i in range(1, n + 1):
+        cost[i] = _next_row(cost[i - 1], i, pb != pa_[:, i - 1 : i], steps)
+    i, j, left = la.copy(), lb.copy(), np.arange(pairs)
+    found: list[tuple[np.ndarray, ...]] = []
+    while len(left := left[(i[left] > 0) | (j[left] > 0)]):
+        x, y = i[left], j[left]
+        here = cost[x, left, y]
+        x1, y1 = np.maximum(x - 1, 0), np.maximum(y - 1, 0)
+        both = (x > 0) & (y > 0)
+        unlike = np.ones(len(left), bool)
+        unlike[both] = pa_[left[both], x1[both]] != pb[left[both], y1[both]]
+        slant = both & (here == cost[x1, left, y1] + unlike)
+        up = ~slant & (x > 0) & (here == cost[x1, left, y] + 1)
+        i[left] -= slant | up
+        j[left] -= ~up
+        edit = ~slant | unlike
+        op = np.where(slant, SUB, np.where(up, DEL, INS))
+        found.append((left[edit], op[edit], i[left][edit], j[left][edit]))
+    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+
+
+def align_all(refs: list[str], hyps: list[str]) -> tuple[np.ndarray, ...]:
+    """(pair, operation, position in ref, position in hyp) of every edit, by pair and position."""
+    code = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    start = np.array([len(commonprefix(p)) for p in zip(refs, hyps, strict=True)], np.int64)
+    a, b = ([code(t[s:]) for t, s in zip(side, start, strict=True)] for side in (refs, hyps))
+    parts, held, n, m = [], [], 0, 0
+
+    def flush() -> None:
+        if held:
+            pair, *rest = _align_together([a[k] for k in held], [b[k] for k in held])
+            parts.append((np.array(held)[pair], *rest))
+
+    for k in sorted(range(len(refs)), key=lambda k: (len(a[k]), len(b[k]))):
+        if not len(a[k]) and not len(b[k]):
+            continue
+        if (len(a[k]) + 1) * (len(b[k]) + 1) > CELLS:
+            edits = np.array(_align_large(a[k], b[k]), np.int64).reshape(-1, 3)
+            parts.append((np.full(len(edits), k), *edits.T))
+            continue
+        n, m = max(n, len(a[k])), max(m, len(b[k]))
+        if (len(held) + 1) * (n + 1) * (m + 1) > CELLS:
+            flush()
+            held, n, m = [], len(a[k]), len(b[k])
+        held.append(k)
+    flush()
+    pair, op, i, j = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+    by = np.lexsort((np.arange(len(pair))[::-1], pair))
+    return pair[by], op[by], i[by] + start[pair[by]], j[by] + start[pair[by]]
+
+
+def align(ref: str, hyp: str) -> list[tuple[str, int, int]]:
+    """(operation, position in ref, position in hyp) of every edit, in order."""
+    _, op, i, j = align_all([ref], [hyp])
+    return [(NAMES[o], x, y) for o, x, y in zip(op.tolist(), i.tolist(), j.tolist(), strict=True)]
 
 
 OPS = "array<struct<op:string,ref_char:string,hyp_char:string>>"
@@ -52,15 +138,15 @@ OPS = "array<struct<op:string,ref_char:string,hyp_char:string>>"
 def edit_operations(records: DataFrame) -> DataFrame:
     """``records`` with ``ops``: every edit with the characters it takes and gives."""
 
-    @F.pandas_udf(OPS)
-    def ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-        def one(r: str, h: str) -> list[dict]:
-            return [
-                {"op": op, "ref_char": r[i] if op != "ins" else None, "hyp_char": h[j] if op != "del" else None}
-                for op, i, j in align(r, h)
-            ]
-
-        return pd.Series([one(r, h) for r, h in zip(ref, hyp, strict=True)])
+    @F.arrow_udf(OPS)
+    def ops(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+        refs, hyps = ref.to_pylist(), hyp.to_pylist()
+        pair, op, i, j = align_all(refs, hyps)
+        taken = [None if o == INS else refs[k][x] for k, o, x in zip(pair.tolist(), op.tolist(), i.tolist(), strict=True)]
+        given = [None if o == DEL else hyps[k][y] for k, o, y in zip(pair.tolist(), op.tolist(), j.tolist(), strict=True)]
+        values = [pa.array(NAMES[op], pa.string()), pa.array(taken, pa.string()), pa.array(given, pa.string())]
+        bounds = np.searchsorted(pair, np.arange(len(refs) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(values, ["op", "ref_char", "hyp_char"]))
 
     return records.withColumn("ops", ops(text.normalize("reference"), text.normalize("prediction")))
 
@@ -83,22 +169,57 @@ def tallies(with_ops: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def rare_label_counts(with_ops: DataFrame, labels: dict[str, str] = text.RARE_LABELS) -> DataFrame:
-    """Per label: reference characters, deleted, substituted and inserted ones, error rate and its interval."""
-    from .statistics import wilson
+def tallies_by_all(with_ops: DataFrame, keys: list[str]) -> DataFrame:
+    """(dimension, value, sums, shares and rates): all records, and every value of each key."""
+    whole = tallies(with_ops).select(F.lit("overall").alias("dimension"), F.lit("all").alias("value"), "*")
+    for key in keys:
+        part = tallies(with_ops.withColumn(key, F.coalesce(F.col(key).cast("string"), F.lit("unknown"))), key)
+        whole = whole.unionByName(part.withColumn("dimension", F.lit(key)).withColumnRenamed(key, "value"))
+    return whole
 
+
+def _by_label(with_ops: DataFrame, labels: dict[str, str], *keys: str) -> DataFrame:
+    """Per key and label: reference characters, and deleted, substituted and inserted ones."""
     of = F.create_map(*[F.lit(x) for label, chars in labels.items() for c in chars for x in (c, label)])
     wanted = "".join(labels.values())
     refs = with_ops.select(
-        F.explode(F.split(F.regexp_replace(F.lower(text.normalize("reference")), f"[^{wanted}]", ""), "")).alias("c")
-    ).where("c <> ''").groupBy(of[F.col("c")].alias("label")).agg(F.count(F.lit(1)).alias("ref"))
-    ops = with_ops.select(F.explode("ops").alias("o")).select(
-        "o.op", F.lower(F.coalesce("o.ref_char", "o.hyp_char")).alias("c")
+        *keys, F.explode(F.split(F.regexp_replace(F.lower(text.normalize("reference")), f"[^{wanted}]", ""), "")).alias("c")
+    ).where("c <> ''").groupBy(*keys, of[F.col("c")].alias("label")).agg(F.count(F.lit(1)).alias("ref"))
+    ops = with_ops.select(*keys, F.explode("ops").alias("o")).select(
+        *keys, "o.op", F.lower(F.coalesce("o.ref_char", "o.hyp_char")).alias("c")
     ).where(F.col("c").isin(*wanted))
     n = lambda op: F.sum((F.col("op") == op).cast("long")).alias(op)
-    counts = ops.groupBy(of[F.col("c")].alias("label")).agg(n("del"), n("sub"), n("ins"))
-    rows = refs.join(counts, "label", "full").fillna(0)
-    rows = rows.withColumn("err", F.col("del") + F.col("sub"))
-    return rows.withColumn("error_rate", F.col("err") / F.greatest(F.lit(1), F.col("ref"))).withColumn(
-        "interval", wilson("err", "ref")
+    counts = ops.groupBy(*keys, of[F.col("c")].alias("label")).agg(n("del"), n("sub"), n("ins"))
+    rows = refs.join(counts, [*keys, "label"], "full").fillna(0, ["ref", "del", "sub", "ins"])
+    return rows.withColumn("err", F.col("del") + F.col("sub"))
+
+
+def rare_label_counts(with_ops: DataFrame, labels: dict[str, str] = text.RARE_LABELS) -> DataFrame:
+    """Per label: reference characters, deleted, substituted and inserted ones, their shares, error rate and its interval."""
+    from .statistics import wilson
+
+    rows = _by_label(with_ops, labels)
+    some = F.greatest(F.lit(1), F.col("err"))
+    return rows.withColumns(
+        {
+            "error_rate": F.col("err") / F.greatest(F.lit(1), F.col("ref")),
+            "deletion_share": F.col("del") / some,
+            "substitution_share": F.col("sub") / some,
+            "interval": wilson("err", "ref"),
+        }
+    )
+
+
+def rare_label_bootstrap(
+    with_ops: DataFrame, labels: dict[str, str] = text.RARE_LABELS, page: str = "source_page_id", replicates: int = 1000, seed: int = 42
+) -> DataFrame:
+    """(metric, mean, median, std, lo, hi) of every label's error rate over resamples of whole pages."""
+    from .statistics import bootstrap
+
+    names = list(labels)
+    sums = _by_label(with_ops, labels, page).groupBy(page).agg(
+        *[F.sum(F.when(F.col("label") == label, F.col(c))).alias(f"{c}{k}") for k, label in enumerate(names) for c in ("err", "ref")]
     )
+    pages = with_ops.select(F.col(page).alias("page")).distinct().join(sums.withColumnRenamed(page, "page"), "page", "left")
+    pages = pages.fillna(0, [c for c in pages.columns if c != "page"])
+    return bootstrap(pages, replicates, seed, {label: (f"err{k}", f"ref{k}") for k, label in enumerate(names)})
