@@ -33,11 +33,11 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
     """
     parts = fixed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sums = sorted((r["_part"], r["t"]) for r in parts.groupBy("_part").agg(F.sum(value).alias("t")).collect())
-    before, total = [], 0
+    kind = dict(parts.agg(F.sum(value).alias("t")).dtypes)["t"]
+    before, total = [], 0.0 if kind == "double" else 0
     for part, own in sums:
         before.append((part, total))
-        total += own
-    kind = dict(parts.agg(F.sum(value).alias("t")).dtypes)["t"]
+        total += own or 0
     starts = df.sparkSession.createDataFrame(before, f"_part int, _before {kind}")
     local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (

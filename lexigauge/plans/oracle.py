@@ -310,17 +310,21 @@ SQL = {
                     WHEN bow_f1 < 0.50 AND length_ratio BETWEEN 0.70 AND 1.30 AND cer >= 0.30 THEN 'recognizer_or_bad_crop_failure'
                     WHEN cer < 0.15 THEN 'acceptable' ELSE 'mixed' END AS error_type
         FROM page_scores""",
-    "gate": f"""WITH {SCORED},
-        s AS (SELECT language, {", ".join(f"{e} AS {n.removeprefix('val_rec_')}" for n, e in _SUMMARY.items())} FROM scored GROUP BY language),
+    "gate": f"""WITH {_WITH_CHRF},
+        s AS (SELECT language, avg(chrf) AS chrf, {", ".join(f"{e} AS {n.removeprefix('val_rec_')}" for n, e in _SUMMARY.items())} FROM full_scored GROUP BY language),
         r AS (SELECT *, concat_ws('; ', CASE WHEN cer > 0.10 THEN 'val_rec_cer exceeds max_cer' END,
             CASE WHEN rare_char_cer > 0.15 THEN 'val_rec_rare_char_cer exceeds max_rare_char_cer' END,
             CASE WHEN exact_match_short < 0.80 THEN 'val_rec_exact_match_short below min_exact_match_short' END,
             CASE WHEN empty_prediction_rate > 0.05 THEN 'val_rec_empty_prediction_rate exceeds max_empty_rate' END,
             CASE WHEN too_short_rate > 0.05 THEN 'val_rec_too_short_rate exceeds max_too_short_rate' END,
-            CASE WHEN length_ratio < 0.70 OR length_ratio > 1.30 THEN 'val_rec_length_ratio outside configured range' END) AS fails FROM s)
-        SELECT language, CASE WHEN cer > 0.25 THEN 'SMOKE_FAIL' WHEN fails <> '' THEN 'FAIL' ELSE 'WARN or PASS' END AS status,
+            CASE WHEN length_ratio < 0.70 OR length_ratio > 1.30 THEN 'val_rec_length_ratio outside configured range' END) AS fails,
+            concat_ws('; ', CASE WHEN cer > 0.05 THEN 'val_rec_cer above strong_result_cer' END,
+            CASE WHEN rare_char_cer > 0.08 THEN 'val_rec_rare_char_cer above strong_result_rare_char_cer' END,
+            CASE WHEN chrf < 0.90 THEN 'val_rec_chrf below strong_result_chrf' END,
+            CASE WHEN exact_match_short < 0.90 THEN 'val_rec_exact_match_short below strong_result_exact_match_short' END) AS warns FROM s)
+        SELECT language, CASE WHEN cer > 0.25 THEN 'SMOKE_FAIL' WHEN fails <> '' THEN 'FAIL' WHEN warns <> '' THEN 'WARN' ELSE 'PASS' END AS status,
                NOT (cer > 0.25 OR fails <> '') AS promote,
-               CASE WHEN cer > 0.25 THEN 'smoke fail: val_rec_cer exceeds smoke_fail_cer' ELSE fails END AS reasons FROM r""",
+               CASE WHEN cer > 0.25 THEN 'smoke fail: val_rec_cer exceeds smoke_fail_cer' WHEN fails <> '' THEN fails ELSE warns END AS reasons FROM r""",
     "charset": f"SELECT DISTINCT char FROM {_CHARS} WHERE char NOT IN (chr(10), chr(13), '')",
     "char_histogram": f"SELECT char, count(*) AS count FROM {_CHARS} WHERE char <> '' GROUP BY char",
     "dataset_audit": f"""
@@ -450,3 +454,7 @@ SQL = {
         SELECT page_id, line_id AS box_id, row_number() OVER (PARTITION BY page_id ORDER BY
                round_even((y1 + y2) / 2 / ((y2 - y1) * 0.6), 0), (y1 + y2) / 2, (x1 + x2) / 2, line_id) - 1 AS position FROM boxes""",
 }
+
+from . import oracle_more  # noqa: E402  (it uses the pieces above)
+
+SQL |= oracle_more.SQL

@@ -20,6 +20,7 @@ from ..operators import (
     sampling,
     statistics,
 )
+from . import more
 from . import records as R
 
 QUERIES = {}
@@ -472,3 +473,7 @@ def layout_aware_order(spark, sf_dir):
 def simple_order(spark, sf_dir):
     boxes = R.line_boxes(R.records(spark, sf_dir)).withColumnRenamed("line_id", "box_id")
     return reading_order.reading_order(boxes, "simple")
+
+
+for _function in more.ALL:
+    query(_function)
