@@ -52,8 +52,9 @@ CLASS_BOUNDS = (16, 1024)
 #: Sets whose sizes differ by more than this factor are never similar; sizes are banded by it.
 BAND = 1.3
 GROUP_TOKENS = 3
-BLOCK_TOKENS = 2_000_000
-BLOCK_SETS = 50_000
+#: Tokens and sets of a block: a task's memory, some 70 bytes a token while the block is dealt out.
+BLOCK_TOKENS = 400_000
+BLOCK_SETS = 20_000
 #: Sets and tokens of one side of a comparison of blocks.
 PAIR_SETS, PAIR_TOKENS = 512, 1_000_000
 
@@ -187,12 +188,16 @@ class Block:
 
 
 def _ints(values: np.ndarray) -> bytes:
-    """32-bit integers by byte plane."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """32-bit integers by byte plane, compressed: they are small, so most of their bits say nothing."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
 
 
 def _from_ints(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
+    if not data:
+        return np.zeros(0, "<u4")
+    planes = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
 
 
 def _cut(buckets: int, width: int):
