@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lexigauge.llm import components, exact_dedup, jaccard_join
@@ -148,8 +149,30 @@ def test_similar_sets_share_a_signature(monkeypatch, bounds):
             assert len(np.intersect1d(sign(a), sign(b))), (n, len(b), both)
 
 
-def test_components_of_long_paths_and_stars(spark):
-    path = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
-    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
-    assert got == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 160)}
-    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+@pytest.mark.parametrize("chunk", [8, components.CHUNK])
+def test_components_of_long_paths_and_stars(spark, chunk):
+    path = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (5, None), (5, 4)]
+    random.Random(3).shuffle(path)
+    links = spark.createDataFrame(path, "a bigint, b bigint").repartition(5)
+    got = [(r["id"], r["component"]) for r in components.components(links, chunk).collect()]
+    assert sorted(got) == [(k, 0) for k in range(61)] + [(k, 100) for k in range(100, 160)]
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint"), chunk).count() == 0
+
+
+def test_connected_agrees_with_union_find():
+    draw = random.Random(5)
+    for n in (1, 5, 40, 400):
+        edges = [(draw.randrange(n), draw.randrange(n)) for _ in range(draw.randrange(1, 2 * n))]
+        parent = list(range(n))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+        u, v = components.connected(*(np.array(side) for side in zip(*edges)))
+        seen = {x for e in edges for x in e}
+        assert dict(zip(u.tolist(), v.tolist())) == {x: find(x) for x in seen if find(x) != x}
