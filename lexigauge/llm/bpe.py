@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -335,17 +336,20 @@ def read_vocabulary(path: str) -> bytes:
 
 
 class PieceCache:
-    """Ids of distinct pieces, each encoded once; it holds ``limit`` pieces at most (None: all that come)."""
+    """Ids of distinct pieces, each encoded once; it holds ``limit`` pieces at most (None: all that come).
 
-    def __init__(self, enc: tiktoken.Encoding, limit: int | None = 300_000):
+    A piece's ids are held as bytes: a list of integers is some five times as large.
+    """
+
+    def __init__(self, enc: tiktoken.Encoding, limit: int | None = 100_000):
         self.enc, self.limit, self.known = enc, limit, {}
 
-    def ids(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
         known, out = self.known, []
         for p in pieces:
             got = known.get(p)
             if got is None:
-                got = encode_piece(self.enc, p)
+                got = array("I", encode_piece(self.enc, p)).tobytes()
                 if self.limit is None or len(known) < self.limit:
                     known[p] = got
             out.append(got)
@@ -353,9 +357,9 @@ class PieceCache:
 
     def flat(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, one after the other, and their numbers)."""
-        lists = self.ids(pieces.to_pylist())
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((i for piece in lists for i in piece), np.uint32, int(sizes.sum())), sizes
+        held = self.ids(pieces.to_pylist())
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        return np.frombuffer(b"".join(held), np.uint32), sizes
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds by text) of a chunk of texts."""

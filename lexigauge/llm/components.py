@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lean, staged
 
 #: Edges that a task holds at a time when it connects them by itself.
 CHUNK = 1 << 18
@@ -72,7 +72,7 @@ def _connect(chunk: int):
 
 def _connected(edges: DataFrame, count: int, chunk: int) -> DataFrame:
     """Edges of the same components, connected as far as a task sees them: about ``chunk`` a task."""
-    return edges.coalesce(-(-count // chunk)).mapInArrow(_connect(chunk), "u bigint, v bigint")
+    return edges.coalesce(-(-count // chunk)).mapInArrow(lean(_connect(chunk)), "u bigint, v bigint")
 
 
 def components(links: DataFrame, chunk: int = CHUNK) -> DataFrame:

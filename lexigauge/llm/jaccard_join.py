@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import shuffle_partitions, staged, text_key, without
+from .common import lean, lean_group, shuffle_partitions, staged, text_key, without
 from .components import components
 
 WIDTH = 5
@@ -380,7 +380,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     of = lambda side: sets.select(
         F.col("cid").alias(side), F.col("n").alias(f"n{side}"), F.col("tokens").alias(f"t{side}")
     )
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_intersect, "a bigint, b bigint")
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lean(_intersect), "a bigint, b bigint")
 
 
 def _near_sizes(x: str, y: str):
@@ -511,7 +511,7 @@ def release(spark: SparkSession) -> None:
 def link_classes(sets: DataFrame) -> DataFrame:
     """Verified links (a, b) between classes: not all of them, but enough that components are exact."""
     spark = sets.sparkSession
-    signed = staged(sets.mapInArrow(_sign, "sig bigint, cid bigint, n int"), "jaccard-signed")
+    signed = staged(sets.mapInArrow(lean(_sign), "sig bigint, cid bigint, n int"), "jaccard-signed")
     crowded = signed.groupBy("sig").count().where("count > 1").select("sig")
     signed = staged(signed.join(crowded, "sig"), "jaccard-met")
     release(spark)
@@ -519,7 +519,7 @@ def link_classes(sets: DataFrame) -> DataFrame:
     release(spark)
     dealt = staged(_dealt(_still_open(signed, components(links))), "jaccard-dealt")
     rows = dealt.join(sets.select("cid", "n", "tokens"), "cid")
-    more = rows.groupBy("family", "kind", "i", "j").applyInArrow(_compare_blocks, "a bigint, b bigint")
+    more = rows.groupBy("family", "kind", "i", "j").applyInArrow(lean_group(_compare_blocks), "a bigint, b bigint")
     return links.unionByName(staged(more, "jaccard-links2"))
 
 
@@ -543,7 +543,8 @@ def _joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = docs.sparkSession
     buckets = _buckets(shuffle_partitions(spark))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_key("text").alias("key"))
-    counted = rows.mapInArrow(_cut(buckets, width), CUT_DDL).groupBy("bucket").applyInArrow(_count_bucket, CUT_DDL)
+    cut = rows.mapInArrow(lean(_cut(buckets, width)), CUT_DDL)
+    counted = cut.groupBy("bucket").applyInArrow(lean_group(_count_bucket), CUT_DDL)
     counted = counted.withColumn("kind", F.col("tokens").isNotNull().cast("int"))
     counted = staged(counted, "jaccard-counted", ["kind"])
     release(spark)
@@ -556,7 +557,7 @@ def _joined(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     homes = classes.select(F.col("home.block").alias("block"), F.col("home.at").alias("at"), "n", "cid")
     marked = counted.select("bucket", "block", "sizes", "added", "again", "codes", "tokens", "holders")
-    sets = homes.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(_assemble, SETS)
+    sets = homes.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(lean_group(_assemble), SETS)
     sets = staged(sets, "jaccard-sets")
     release(spark)
     links = link_classes(sets)

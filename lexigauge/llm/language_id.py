@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import lean
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -261,7 +262,7 @@ def identify(docs: DataFrame, net: Net) -> DataFrame:
         held_out(F.col("doc_id")).alias("held_out"),
         _letters().alias("letters"),
     )
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def _letters() -> Column:
@@ -301,4 +302,4 @@ def confident(docs: DataFrame, least: float = 0.3) -> DataFrame:
                 own = [c.slice(lo, hi - lo) for c in batch.columns[: len(names)]]
                 yield pa.RecordBatch.from_arrays(own, names=names).filter(pa.array(keep))
 
-    return docs.withColumn("_letters_", _letters()).mapInArrow(run, docs.schema)
+    return docs.withColumn("_letters_", _letters()).mapInArrow(lean(run), docs.schema)

@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame
 
 from . import textvec
 from .bpe import PieceCache, encoder
+from .common import lean
 
 #: Context sizes; the last is the window that long documents are cut at.
 TIERS = (64, 128, 256, 512, 1024)
 #: Leftovers that wait at most before they are packed: memory of a task.
 POOL = 8192
+#: Bytes of the texts that are cut into pre-tokens together: a task's memory, many times as much while they are cut.
+CHUNK_BYTES = 1 << 19
 #: Full windows of a step group, or as many tokens in shorter sequences.
 GROUP = 8
 
@@ -245,7 +248,7 @@ def _special_split(text: bytes, special: dict[bytes, int]) -> list[bytes | int]:
 def tokenised(batch: pa.RecordBatch, cache: PieceCache, special: dict[bytes, int], end: int):
     """(doc_id, ids with the end id) for every row of a batch."""
     ids_of = batch.column("doc_id").to_pylist()
-    for lo, hi, buf, off in textvec.chunks(batch.column("text")):
+    for lo, hi, buf, off in textvec.chunks(batch.column("text"), CHUNK_BYTES):
         raw = buf.tobytes() if special else b""
         marked = any(s in raw for s in special)
         ids, bounds = cache.encode(buf, off)
@@ -291,4 +294,4 @@ def pack_documents(docs: DataFrame, vocabulary: bytes, tiers: tuple[int, ...] =
         if packer.rows:
             yield packer.batch()
 
-    return docs.select("doc_id", "text").mapInArrow(run, DDL)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), DDL)
