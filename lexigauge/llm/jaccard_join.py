@@ -52,9 +52,11 @@ CLASS_BOUNDS = (16, 1024)
 #: Sets whose sizes differ by more than this factor are never similar; sizes are banded by it.
 BAND = 1.3
 GROUP_TOKENS = 3
-#: Tokens and sets of a block: a task's memory, some 70 bytes a token while the block is dealt out.
+#: Tokens and sets of a block: a task's memory, some 130 bytes a token while the block is dealt out.
 BLOCK_TOKENS = 400_000
 BLOCK_SETS = 20_000
+#: Bytes of the texts that are cut into words together.
+CHUNK_BYTES = 1 << 19
 #: Sets and tokens of one side of a comparison of blocks.
 PAIR_SETS, PAIR_TOKENS = 512, 1_000_000
 
@@ -173,13 +175,16 @@ class Block:
         code = (np.cumsum(new) - 1)[first]
         codes = np.empty(len(flat), np.uint32)
         codes[order] = np.repeat(code, holders)
+        del order
         added = np.add.reduceat(new, np.cumsum(sizes) - sizes, dtype=np.int64)
         out = [(*row, _ints(added), _ints(codes[~new]), None, None, None)]
         tokens = flat[starts]
+        del flat, new, codes, starts, first
         bucket = _bucket_of(tokens, buckets)
         by = np.argsort(bucket << 32 | code)
         cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
         tokens, code, holders = tokens[by], code[by], holders[by]
+        del bucket, by
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             lo, hi = cuts[b], cuts[b + 1]
             steps = np.diff(code[lo:hi], prepend=0)
@@ -207,7 +212,7 @@ def _cut(buckets: int, width: int):
         block = Block(f"{task}:{number}")
         for batch in batches:
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
-            for lo, hi, buf, off in textvec.chunks(batch.column("text")):
+            for lo, hi, buf, off in textvec.chunks(batch.column("text"), CHUNK_BYTES):
                 w = textvec.words(buf, off)
                 sh, bounds = textvec.shingles(textvec.span_hashes(buf, w.starts, w.ends), w.bounds, width)
                 for k in range(hi - lo):

@@ -2,11 +2,13 @@
 
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
+import numpy as np
 import pytest
 
-from lexigauge.llm import bpe
+from lexigauge.llm import bpe, jaccard_join
 
 SCRIPT = """
 import re, sys
@@ -69,3 +71,15 @@ def test_cached_pieces_are_as_small_as_their_ids():
     assert sum(map(sys.getsizeof, cache.known.values())) < 2 * 60
     none, sizes = cache.flat(bpe.pa.array([], bpe.pa.large_binary()))
     assert not len(none) and not len(sizes)
+
+
+def test_dealing_out_a_block_takes_little_beside_it():
+    block = jaccard_join.Block("0:0")
+    rnd = np.random.default_rng(3)
+    for k in range(200):
+        block.add(k, np.unique(rnd.integers(0, 1 << 63, 1000).astype(np.uint64)), k)
+    tracemalloc.start()
+    rows = block.rows(256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows.num_rows == 257 and peak < 155 * block.tokens
