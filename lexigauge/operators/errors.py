@@ -106,11 +106,22 @@ def failure_distribution(classified: DataFrame) -> DataFrame:
     return classified.groupBy("failure_mode").agg(F.count(F.lit(1)).alias("count"), F.avg("cer").alias("mean_cer"))
 
 
+def six_digits(number: Column | str) -> Column:
+    """Six digits after the point as C's ``%.6f`` gives them; null stays null.
+
+    The number as it is stored is rounded, a true tie to the even digit (1/128 is 0.007812); ``format_string`` rounds
+    its shortest decimal form, ties up. Numbers of 1e10 and more have zeros behind their 17th digit.
+    """
+    x = text.column(number).cast("double")
+    infinite = F.when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.when(F.isnan(x), "nan").otherwise(F.coalesce(infinite, F.call_function("format_number", x, F.lit("0.000000"))))
+
+
 def failure_table(classified: DataFrame) -> DataFrame:
     """(id, cer with six digits, failure_mode, image_url) of every record, for a CSV file."""
     return classified.select(
         F.coalesce(F.col("sample_id").cast("string"), F.lit("")).alias("id"),
-        F.format_string("%.6f", F.col("cer").cast("double")).alias("cer"),
+        six_digits("cer").alias("cer"),
         "failure_mode",
         F.coalesce(F.col("image_url").cast("string") if "image_url" in classified.columns else F.lit(""), F.lit("")).alias("image_url"),
     )

@@ -125,6 +125,19 @@ def test_failure_modes(spark):
     assert [r["mode"] for r in rows.collect()] == [m for _, m in cases]
 
 
+def test_six_digits_round_the_stored_number(spark):
+    values = [k / n for n in (7, 64, 128, 640, 1280) for k in range(2 * n)] + [-0.0, -1 / 128, 1234567.0078125, 5e-7, 1.5e-6]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", errors.six_digits("v").alias("t")).collect()
+    assert [r["t"] for r in got] == [f"{r['v']:.6f}" for r in got]
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (None,)], "v double")
+    assert [r["t"] for r in odd.select(errors.six_digits("v").alias("t")).collect()] == ["nan", "inf", "-inf", None]
+
+
+def test_failure_table_rounds_as_its_sql(spark):
+    rows = spark.createDataFrame([("a", 1 / 128, "CORRECT"), ("b", None, "CORRECT")], "sample_id string, cer double, failure_mode string")
+    assert [r["cer"] for r in errors.failure_table(rows).orderBy("id").collect()] == ["0.007812", None]
+
+
 def test_nan_free(spark):
     rows = spark.createDataFrame([("", ""), ("", "x"), ("x", ""), (None, None)], "reference string, prediction string")
     for r in metrics.with_metrics(rows).collect():
