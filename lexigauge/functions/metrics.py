@@ -16,21 +16,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import RARE_CHARS, column, length_bucket, normalize, only_rare, page_tokens, words
+from .text import RARE_CHARS, column, length_bucket, let, normalize, only_rare, page_tokens, words
 
 #: First code point that stands for a word, and how many follow.
 WORD_BASE, MAX_WORDS = 0x10000, 0x100000
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once.
-
-    A lambda evaluates what it refers to outside itself anew for each element, unless that is a column
-    or another lambda's variable; here it becomes the latter.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def edit_distance(a: Column | str, b: Column | str) -> Column:
     a, b = column(a), column(b)
     return (

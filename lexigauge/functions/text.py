@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +26,15 @@ def column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once.
+
+    A lambda evaluates what it refers to outside itself anew for each element, unless that is a column
+    or another lambda's variable; here it becomes the latter.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(text: Column | str) -> Column:
     """Null is empty; runs of white space are one space; none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(column(text), F.lit("")), SPACE_CLASS + "+", " "))
@@ -57,10 +69,18 @@ def has_rare(text: Column | str, rare: str = RARE_CHARS) -> Column:
     return F.lower(column(text)).rlike(rare_class(rare))
 
 
+def _any_of(low: Column, chars: str) -> Column:
+    return reduce(or_, [F.contains(low, F.lit(c)) for c in chars])
+
+
+def _present(low: Column, rare: str) -> Column:
+    found = [F.when(F.contains(low, F.lit(c)), F.lit(c)) for c in rare]
+    return F.when(low.isNotNull(), F.array_compact(F.array(*found)))
+
+
 def rare_present(text: Column | str, rare: str = RARE_CHARS) -> Column:
-    """The rare characters that occur, in the order of ``rare``."""
-    low = F.lower(column(text))
-    return F.filter(F.array(*[F.lit(c) for c in rare]), lambda c: F.contains(low, c))
+    """The rare characters that occur, in the order of ``rare``; null for a null text."""
+    return let(F.lower(column(text)), lambda low: _present(low, rare))
 
 
 def only_rare(text: Column | str, rare: str = RARE_CHARS) -> Column:
@@ -82,16 +102,28 @@ def is_structural(text: Column | str) -> Column:
     return F.trim(column(text)).rlike(r"^\[[^\]]+\]$")
 
 
-def infer_language(text: Column | str, given: Column | str | None = None) -> Column:
-    low = F.lower(F.coalesce(column(text), F.lit("")))
-    found = (
-        F.when(low.rlike(rare_class(KAZAKH_ONLY)), "kazakh")
-        .when(low.rlike(rare_class(KAZAKH_OR_KYRGYZ)), "kyrgyz_or_kazakh")
-        .otherwise("russian_or_other")
+def _language(low: Column) -> Column:
+    return (
+        F.when(_any_of(low, KAZAKH_ONLY), "kazakh").when(_any_of(low, KAZAKH_OR_KYRGYZ), "kyrgyz_or_kazakh").otherwise("russian_or_other")
     )
+
+
+def infer_language(text: Column | str, given: Column | str | None = None) -> Column:
+    found = let(F.lower(F.coalesce(column(text), F.lit(""))), _language)
     return found if given is None else F.coalesce(F.nullif(column(given), F.lit("")), found)
 
 
+def letter_marks(text: Column | str, rare: str = RARE_CHARS) -> Column:
+    """struct(inferred, has_rare, present) of a text, which is put into lower case once; null is empty.
+
+    White space holds none of the letters, so the text need not be normalised.
+    """
+    marks = lambda low: F.struct(
+        _language(low).alias("inferred"), _any_of(low, rare).alias("has_rare"), _present(low, rare).alias("present")
+    )
+    return let(F.lower(F.coalesce(column(text), F.lit(""))), marks)
+
+
 def infer_crop_type(zone_type: Column | str) -> Column:
     low = F.lower(F.coalesce(column(zone_type), F.lit("")))
     return F.when(F.contains(low, F.lit("cell")) | F.contains(low, F.lit("table")), "table_cell").otherwise("zone")

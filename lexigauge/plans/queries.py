@@ -85,11 +85,8 @@ def length_buckets(spark, sf_dir):
 
 @query
 def infer_language(spark, sf_dir):
-    n = text.normalize("text")
-    rows = _documents(spark, sf_dir).select(
-        text.infer_language(n).alias("inferred"), text.has_rare(n, R.RARE).alias("has_rare"), text.rare_present(n, R.RARE).alias("present")
-    )
-    return rows.groupBy("inferred", "has_rare", F.array_join("present", "").alias("present")).agg(F.count(F.lit(1)).alias("n"))
+    rows = _documents(spark, sf_dir).select(text.letter_marks("text", R.RARE).alias("m"))
+    return rows.groupBy("m.inferred", "m.has_rare", F.array_join("m.present", "").alias("present")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

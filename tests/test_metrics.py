@@ -138,6 +138,25 @@ def test_failure_table_rounds_as_its_sql(spark):
     assert [r["cer"] for r in errors.failure_table(rows).orderBy("id").collect()] == ["0.007812", None]
 
 
+def test_letter_marks_are_the_single_functions(spark):
+    texts = ["қазақ тілі", "ӨМҮР", "москва", "ÄÖ\u00a0 x\n", " é ", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    full, rare = F.coalesce("t", F.lit("")), "äçèéñöüқ"
+    each = F.struct(text.infer_language(full).alias("inferred"), text.has_rare(full, rare).alias("has_rare"), text.rare_present(full, rare).alias("present"))
+    got = rows.select(text.letter_marks("t", rare).alias("m"), each.alias("e"), text.rare_present("t", rare).alias("p")).collect()
+    assert all(r["m"] == r["e"] for r in got)
+    assert [r["m"]["inferred"] for r in got] == ["kazakh", "kyrgyz_or_kazakh"] + ["russian_or_other"] * 5
+    assert [r["p"] for r in got] == [["қ"], [], [], ["ä", "ö"], ["é"], [], None]
+
+
+def test_a_text_is_put_into_lower_case_once(spark):
+    """Not for every letter: in a lambda a function of the text would be evaluated anew for each."""
+    from lexigauge.plans import queries
+
+    plan = queries.QUERIES["infer_language"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and "regexp_replace" not in plan
+
+
 def test_nan_free(spark):
     rows = spark.createDataFrame([("", ""), ("", "x"), ("x", ""), (None, None)], "reference string, prediction string")
     for r in metrics.with_metrics(rows).collect():
