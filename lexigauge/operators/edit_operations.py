@@ -7,6 +7,9 @@ insertions are the same for every choice.
 Pairs of similar size are aligned together, a matrix row of all of them at a time. Of a pair that is
 too large for that only every k-th row is kept, k the root of their number; the way back makes the
 rows between them again. So memory grows with length to the power of 1.5 and not 2.
+
+Where only the numbers of operations are asked for (``edit_counts``) no way back is gone: a cell holds its
+cost and the insertions of its own alignment, and a diagonal of many pairs is computed at a time.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from ..functions import text
 
 #: Cells of the matrices that are held at a time.
 CELLS = 4_000_000
+#: Characters of pairs that are counted at a time, and cells of their diagonals.
+CHARS, DIAGONAL = 1_000_000, 16_384
 NAMES = np.array(["sub", "del", "ins"], dtype=object)
 SUB, DEL, INS = range(3)
 
@@ -126,6 +131,93 @@ def align_all(refs: list[str], hyps: list[str]) -> tuple[np.ndarray, ...]:
     return pair[by], op[by], i[by] + start[pair[by]], j[by] + start[pair[by]]
 
 
+def _alike(a: np.ndarray, from_a: np.ndarray, b: np.ndarray, from_b: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """How many characters, ``most`` at most, are the same in both from these places on; ``step`` of -1 goes backwards."""
+    ends = np.cumsum(most)
+    first = ends - most
+    k = step * (np.arange(most.sum()) - np.repeat(first, most))
+    unlike = np.append(np.flatnonzero(a[np.repeat(from_a, most) + k] != b[np.repeat(from_b, most) + k]), most.sum())
+    return np.minimum(unlike[np.searchsorted(unlike, first)], ends) - first
+
+
+def _count_together(a: np.ndarray, from_a: np.ndarray, n: np.ndarray, b: np.ndarray, from_b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, insertions) of pairs, given as places and lengths in ``a`` and ``b``, whose characters are numbers from 2 on.
+
+    A cell is a number: cost, two bits for the last step and the insertions. So the least of three candidates is the
+    cheapest and, of equally cheap ones, a slant before a deletion before an insertion.
+    """
+    height, width, pairs = int(n.max()), int(m.max()), len(n)
+    low = width.bit_length()
+    high = max(height + 1, width + 1, int(a.max(initial=0)), int(b.max(initial=0))).bit_length()
+    kind = np.int32 if low + 2 + high < 32 else np.int64
+    one, kept = 1 << low + 2, ~(3 << low)
+    deleted, inserted = one + (1 << low), one + (2 << low) + 1
+    i, j = np.arange(height)[:, None], np.arange(width)[::-1, None]
+    rows = np.where(i < n, a[np.minimum(from_a + i, len(a) - 1)], 0).astype(kind) << low + 2
+    columns = np.where(j < m, b[np.minimum(from_b + j, len(b) - 1)], 1).astype(kind) << low + 2
+    two_ago, ago, now, part = (np.zeros((height + 1, pairs), kind) for _ in range(4))
+    out, by = np.empty(pairs, kind), np.argsort(n + m, kind="stable")
+    ends = np.searchsorted((n + m)[by], np.arange(height + width + 2))
+    for d in range(1, height + width + 1):
+        lo, hi = max(1, d - width), min(height, d - 1)
+        if lo <= hi:
+            x, y = part[lo : hi + 1], now[lo : hi + 1]
+            np.bitwise_xor(rows[lo - 1 : hi], columns[width - d + lo : width - d + hi + 1], out=x)
+            np.minimum(x, one, out=x)
+            np.add(x, two_ago[lo - 1 : hi], out=x)
+            np.add(ago[lo - 1 : hi], deleted, out=y)
+            np.minimum(x, y, out=x)
+            np.add(ago[lo : hi + 1], inserted, out=y)
+            np.minimum(x, y, out=y)
+            np.bitwise_and(y, kept, out=y)
+        if d <= width:
+            now[0] = d * one + d
+        if d <= height:
+            now[d] = d * one
+        done = by[ends[d] : ends[d + 1]]
+        out[done] = now[n[done], done]
+        two_ago, ago, now = ago, now, two_ago
+    return out >> low + 2, out & (1 << low) - 1
+
+
+def _count_some(refs: list[str], hyps: list[str]) -> np.ndarray:
+    """A row of deletions, one of substitutions and one of insertions.
+
+    What both texts begin with is left out as in ``align_all``, and then what they end with: the way back begins with that.
+    """
+    la, lb = (np.fromiter(map(len, side), np.int64, len(side)) for side in (refs, hyps))
+    a, b = (np.frombuffer("".join(side).encode("utf-32-le", "surrogatepass"), np.uint32) for side in (refs, hyps))
+    number = np.zeros(0x110000, np.int32)
+    number[a] = number[b] = 1
+    number = np.cumsum(number, dtype=np.int32) + 1
+    a, b = number[a], number[b]
+    from_a, from_b = np.cumsum(la) - la, np.cumsum(lb) - lb
+    start = _alike(a, from_a, b, from_b, np.minimum(la, lb), 1)
+    end = _alike(a, from_a + la - 1, b, from_b + lb - 1, np.minimum(la, lb) - start, -1)
+    n, m, from_a, from_b = la - start - end, lb - start - end, from_a + start, from_b + start
+    edits, inserted = np.maximum(n, m), np.where(n == 0, m, 0)
+    left = np.flatnonzero((n > 0) & (m > 0))
+    left = left[np.argsort((n + m)[left], kind="stable")]
+    while len(left):
+        cells = (np.maximum.accumulate(n[left]) + 1) * np.arange(1, len(left) + 1)
+        k = max(1, int(np.searchsorted(cells, DIAGONAL, "right")))
+        own, left = left[:k], left[k:]
+        edits[own], inserted[own] = _count_together(a, from_a[own], n[own], b, from_b[own], m[own])
+    deleted = n - m + inserted
+    return np.stack([deleted, edits - deleted - inserted, inserted])
+
+
+def count_all(refs: list[str], hyps: list[str]) -> np.ndarray:
+    """Deletions, substitutions and insertions of every pair, a row each: the numbers of what ``align_all`` finds."""
+    ends = np.cumsum([len(r) + len(h) for r, h in zip(refs, hyps, strict=True)], dtype=np.int64)
+    parts, at = [np.zeros((3, 0), np.int64)], 0
+    while at < len(refs):
+        to = max(at + 1, int(np.searchsorted(ends, CHARS + (ends[at - 1] if at else 0), "right")))
+        parts.append(_count_some(refs[at:to], hyps[at:to]))
+        at = to
+    return np.concatenate(parts, axis=1)
+
+
 def align(ref: str, hyp: str) -> list[tuple[str, int, int]]:
     """(operation, position in ref, position in hyp) of every edit, in order."""
     _, op, i, j = align_all([ref], [hyp])
@@ -151,16 +243,35 @@ def edit_operations(records: DataFrame) -> DataFrame:
     return records.withColumn("ops", ops(text.normalize("reference"), text.normalize("prediction")))
 
 
-def tallies(with_ops: DataFrame, *keys: str) -> DataFrame:
-    """Sums of operations by ``keys`` (none: one row), their shares and rates."""
-    n = lambda op: F.sum(F.size(F.filter("ops", lambda o: o["op"] == op)))
-    rows = with_ops.groupBy(*keys).agg(
+def edit_counts(records: DataFrame) -> DataFrame:
+    """``records`` with ``ref_n``, the normalised reference, and ``counts``: its deletions, substitutions and insertions."""
+
+    @F.arrow_udf("struct<del:int,sub:int,ins:int>")
+    def counts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+        rows = count_all(ref.to_pylist(), hyp.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(row, pa.int32()) for row in rows], ["del", "sub", "ins"])
+
+    rows = records.withColumns({"ref_n": text.normalize("reference"), "hyp_n": text.normalize("prediction")})
+    return rows.withColumn("counts", counts("ref_n", "hyp_n")).drop("hyp_n")
+
+
+SUMS = ["n", "total_ref_chars", "deletions", "substitutions", "insertions"]
+
+
+def _sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sums of operations by ``keys``, of rows that ``edit_counts`` or ``edit_operations`` made."""
+    counted = "counts" in rows.columns
+    n = lambda op: F.sum(F.col("counts")[op] if counted else F.size(F.filter("ops", lambda o: o["op"] == op)))
+    return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.char_length(text.normalize("reference"))).alias("total_ref_chars"),
+        F.sum(F.char_length(F.col("ref_n") if counted else text.normalize("reference"))).alias("total_ref_chars"),
         n("del").alias("deletions"),
         n("sub").alias("substitutions"),
         n("ins").alias("insertions"),
     )
+
+
+def _with_rates(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("total_errors", F.col("deletions") + F.col("substitutions") + F.col("insertions"))
     some = F.greatest(F.lit(1), F.col("total_errors"))
     return rows.withColumns(
@@ -169,13 +280,25 @@ def tallies(with_ops: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def tallies_by_all(with_ops: DataFrame, keys: list[str]) -> DataFrame:
-    """(dimension, value, sums, shares and rates): all records, and every value of each key."""
-    whole = tallies(with_ops).select(F.lit("overall").alias("dimension"), F.lit("all").alias("value"), "*")
-    for key in keys:
-        part = tallies(with_ops.withColumn(key, F.coalesce(F.col(key).cast("string"), F.lit("unknown"))), key)
-        whole = whole.unionByName(part.withColumn("dimension", F.lit(key)).withColumnRenamed(key, "value"))
-    return whole
+def tallies(counted: DataFrame, *keys: str) -> DataFrame:
+    """Sums of operations by ``keys`` (none: one row), their shares and rates."""
+    return _with_rates(_sums(counted, *keys))
+
+
+def tallies_by_all(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """(dimension, value, sums, shares and rates): all records, and every value of each key.
+
+    Records are aligned once: their sums by all keys together are summed again for each. No records have a row too.
+    """
+    known = counted.withColumns({key: F.coalesce(F.col(key).cast("string"), F.lit("unknown")) for key in keys})
+    of = lambda name, value: F.struct(F.lit(name).alias("dimension"), value.alias("value"))
+    places = F.array(of("overall", F.lit("all")), *[of(key, F.col(key)) for key in keys])
+    parts = _sums(known, *keys).select(F.explode(places).alias("p"), *SUMS).select("p.*", *SUMS)
+    nothing = counted.sparkSession.range(1).select(
+        F.lit("overall").alias("dimension"), F.lit("all").alias("value"), F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("long").alias(c) for c in SUMS[1:]]
+    )
+    sums = parts.unionByName(nothing).groupBy("dimension", "value").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return _with_rates(sums)
 
 
 def _by_label(with_ops: DataFrame, labels: dict[str, str], *keys: str) -> DataFrame:

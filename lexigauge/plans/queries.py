@@ -451,7 +451,7 @@ def status_upsert(spark, sf_dir):
 
 @query
 def edit_ops(spark, sf_dir):
-    return edit_operations.tallies(edit_operations.edit_operations(R.records(spark, sf_dir)), "language")
+    return edit_operations.tallies(edit_operations.edit_counts(R.records(spark, sf_dir)), "language")
 
 
 @query

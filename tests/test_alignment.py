@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from lexigauge.functions.metrics import bit_distance
 from lexigauge.operators import edit_operations as E
 from lexigauge.operators import inference
@@ -51,6 +53,35 @@ def test_alignment_equals_the_whole_matrix(monkeypatch):
     assert [E.align(r, h) for r, h in rows] == [stripped(r, h) for r, h in rows]
 
 
+def test_counts_are_those_of_the_alignment(monkeypatch):
+    rnd = random.Random(8)
+    long = lambda: "".join(rnd.choices("ab\U0001f600", k=rnd.randint(0, 600)))
+    rows = pairs(400) + [(long(), long()) for _ in range(30)] + [("abc", "abc abc"), ("x" + "a" * 40, "a" * 40 + "x")]
+    refs, hyps = [r for r, _ in rows], [h for _, h in rows]
+    pair, op, _, _ = E.align_all(refs, hyps)
+    want = [np.bincount(pair[op == o], minlength=len(rows)).tolist() for o in (E.DEL, E.SUB, E.INS)]
+    assert E.count_all(refs, hyps).tolist() == want
+    for name in ("CHARS", "DIAGONAL"):
+        monkeypatch.setattr(E, name, 1)
+        assert E.count_all(refs, hyps).tolist() == want
+    assert E.count_all([], []).shape == (3, 0)
+
+
+def test_pairs_are_aligned_once_for_all_sums(spark):
+    schema = "reference string, prediction string, kind string, page long"
+    rows = spark.createDataFrame([("abc", "axcd", "x", 1), ("  b  c", "b", None, 1), ("d", "", "x", 2), (None, "é", "y", None)], schema)
+    by_all = lambda some: E.tallies_by_all(some, ["kind", "page"])
+    got = by_all(E.edit_counts(rows))
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_all(E.edit_operations(rows)).collect()))
+    sums = {(r["dimension"], r["value"]): tuple(r[c] for c in E.SUMS) for r in got.collect()}
+    assert sums == {
+        ("overall", "all"): (4, 7, 3, 1, 2), ("kind", "x"): (2, 4, 1, 1, 1), ("kind", "unknown"): (1, 3, 2, 0, 0), ("kind", "y"): (1, 0, 0, 0, 1),
+        ("page", "1"): (2, 6, 2, 1, 1), ("page", "2"): (1, 1, 1, 0, 0), ("page", "unknown"): (1, 0, 0, 0, 1),
+    }
+    assert [tuple(r) for r in by_all(E.edit_counts(rows.limit(0))).collect()] == [("overall", "all", 0, *[None] * 9)]
+
+
 def test_bit_distance_equals_the_matrix():
     for r, h in pairs():
         assert bit_distance(r, h) == plain(r, h)[1]
