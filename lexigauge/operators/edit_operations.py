@@ -14,8 +14,6 @@ cost and the insertions of its own alignment, and a diagonal of many pairs is co
 
 from __future__ import annotations
 
-from os.path import commonprefix
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -101,43 +99,86 @@ def _align_together(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarra
     return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
 
 
-def align_all(refs: list[str], hyps: list[str]) -> tuple[np.ndarray, ...]:
-    """(pair, operation, position in ref, position in hyp) of every edit, by pair and position."""
-    code = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-    start = np.array([len(commonprefix(p)) for p in zip(refs, hyps, strict=True)], np.int64)
-    a, b = ([code(t[s:]) for t, s in zip(side, start, strict=True)] for side in (refs, hyps))
-    parts, held, n, m = [], [], 0, 0
+def _alike(a: np.ndarray, from_a: np.ndarray, b: np.ndarray, from_b: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """How many characters, ``most`` at most, are the same in both from these places on; ``step`` of -1 goes backwards."""
+    ends = np.cumsum(most)
+    first = ends - most
+    k = step * (np.arange(most.sum()) - np.repeat(first, most))
+    unlike = np.append(np.flatnonzero(a[np.repeat(from_a, most) + k] != b[np.repeat(from_b, most) + k]), most.sum())
+    return np.minimum(unlike[np.searchsorted(unlike, first)], ends) - first
+
+
+def _trimmed(refs: list[str], hyps: list[str]) -> tuple[np.ndarray, ...]:
+    """(a, b, start, from_a, from_b, n, m): all characters as numbers from 2 on, and what of each pair is left, by place and length.
+
+    What both texts begin with is left out, ``start`` characters, and then what they end with: the way back begins with that.
+    """
+    la, lb = (np.fromiter(map(len, side), np.int64, len(side)) for side in (refs, hyps))
+    a, b = (np.frombuffer("".join(side).encode("utf-32-le", "surrogatepass"), np.uint32) for side in (refs, hyps))
+    number = np.zeros(0x110000, np.int32)
+    number[a] = number[b] = 1
+    number = np.cumsum(number, dtype=np.int32) + 1
+    a, b = number[a], number[b]
+    from_a, from_b = np.cumsum(la) - la, np.cumsum(lb) - lb
+    start = _alike(a, from_a, b, from_b, np.minimum(la, lb), 1)
+    end = _alike(a, from_a + la - 1, b, from_b + lb - 1, np.minimum(la, lb) - start, -1)
+    return a, b, start, from_a + start, from_b + start, la - start - end, lb - start - end
+
+
+def _lots(refs: list[str], hyps: list[str]) -> list[tuple[int, int]]:
+    """Bounds of lots of pairs of some ``CHARS`` characters each."""
+    ends, lots, at = np.cumsum([len(r) + len(h) for r, h in zip(refs, hyps, strict=True)], dtype=np.int64), [], 0
+    while at < len(refs):
+        to = max(at + 1, int(np.searchsorted(ends, CHARS + (ends[at - 1] if at else 0), "right")))
+        lots.append((at, to))
+        at = to
+    return lots
+
+
+def _only(pair: np.ndarray, count: np.ndarray, op: int) -> tuple[np.ndarray, ...]:
+    """Edits, from the end, of pairs of which one side is empty and the other has ``count`` characters."""
+    ends = np.cumsum(count)
+    at = np.repeat(ends, count) - 1 - np.arange(count.sum())
+    none = np.zeros(len(at), np.int64)
+    return np.repeat(pair, count), np.full(len(at), op), *((at, none) if op == DEL else (none, at))
+
+
+def _align_some(refs: list[str], hyps: list[str]) -> tuple[np.ndarray, ...]:
+    a, b, start, from_a, from_b, n, m = _trimmed(refs, hyps)
+    parts = [_only(own, size[own], op) for own, size, op in ((np.flatnonzero(m == 0), n, DEL), (np.flatnonzero(n == 0), m, INS))]
+    own = lambda k: (a[from_a[k] : from_a[k] + n[k]], b[from_b[k] : from_b[k] + m[k]])
+    held, high, wide = [], 0, 0
 
     def flush() -> None:
         if held:
-            pair, *rest = _align_together([a[k] for k in held], [b[k] for k in held])
+            pair, *rest = _align_together(*map(list, zip(*map(own, held), strict=True)))
             parts.append((np.array(held)[pair], *rest))
 
-    for k in sorted(range(len(refs)), key=lambda k: (len(a[k]), len(b[k]))):
-        if not len(a[k]) and not len(b[k]):
-            continue
-        if (len(a[k]) + 1) * (len(b[k]) + 1) > CELLS:
-            edits = np.array(_align_large(a[k], b[k]), np.int64).reshape(-1, 3)
+    both = np.flatnonzero((n > 0) & (m > 0))
+    for k in both[np.lexsort((m[both], n[both]))].tolist():
+        size, other = int(n[k]), int(m[k])
+        if (size + 1) * (other + 1) > CELLS:
+            edits = np.array(_align_large(*own(k)), np.int64).reshape(-1, 3)
             parts.append((np.full(len(edits), k), *edits.T))
             continue
-        n, m = max(n, len(a[k])), max(m, len(b[k]))
-        if (len(held) + 1) * (n + 1) * (m + 1) > CELLS:
+        high, wide = max(high, size), max(wide, other)
+        if (len(held) + 1) * (high + 1) * (wide + 1) > CELLS:
             flush()
-            held, n, m = [], len(a[k]), len(b[k])
+            held, high, wide = [], size, other
         held.append(k)
     flush()
-    pair, op, i, j = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+    pair, op, i, j = (np.concatenate(c) for c in zip(*parts, strict=True))
     by = np.lexsort((np.arange(len(pair))[::-1], pair))
     return pair[by], op[by], i[by] + start[pair[by]], j[by] + start[pair[by]]
 
 
-def _alike(a: np.ndarray, from_a: np.ndarray, b: np.ndarray, from_b: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
-    """How many characters, ``most`` at most, are the same in both from these places on; ``step`` of -1 goes backwards."""
-    ends = np.cumsum(most)
-    first = ends - most
-    k = step * (np.arange(most.sum()) - np.repeat(first, most))
-    unlike = np.append(np.flatnonzero(a[np.repeat(from_a, most) + k] != b[np.repeat(from_b, most) + k]), most.sum())
-    return np.minimum(unlike[np.searchsorted(unlike, first)], ends) - first
+def align_all(refs: list[str], hyps: list[str]) -> tuple[np.ndarray, ...]:
+    """(pair, operation, position in ref, position in hyp) of every edit, by pair and position."""
+    parts = [(np.zeros(0, np.int64),) * 4]
+    for at, to in _lots(refs, hyps):
+        pair, *rest = _align_some(refs[at:to], hyps[at:to])
+        parts.append((pair + at, *rest))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 def _count_together(a: np.ndarray, from_a: np.ndarray, n: np.ndarray, b: np.ndarray, from_b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,20 +222,8 @@ def _count_together(a: np.ndarray, from_a: np.ndarray, n: np.ndarray, b: np.ndar
 
 
 def _count_some(refs: list[str], hyps: list[str]) -> np.ndarray:
-    """A row of deletions, one of substitutions and one of insertions.
-
-    What both texts begin with is left out as in ``align_all``, and then what they end with: the way back begins with that.
-    """
-    la, lb = (np.fromiter(map(len, side), np.int64, len(side)) for side in (refs, hyps))
-    a, b = (np.frombuffer("".join(side).encode("utf-32-le", "surrogatepass"), np.uint32) for side in (refs, hyps))
-    number = np.zeros(0x110000, np.int32)
-    number[a] = number[b] = 1
-    number = np.cumsum(number, dtype=np.int32) + 1
-    a, b = number[a], number[b]
-    from_a, from_b = np.cumsum(la) - la, np.cumsum(lb) - lb
-    start = _alike(a, from_a, b, from_b, np.minimum(la, lb), 1)
-    end = _alike(a, from_a + la - 1, b, from_b + lb - 1, np.minimum(la, lb) - start, -1)
-    n, m, from_a, from_b = la - start - end, lb - start - end, from_a + start, from_b + start
+    """A row of deletions, one of substitutions and one of insertions."""
+    a, b, _, from_a, from_b, n, m = _trimmed(refs, hyps)
     edits, inserted = np.maximum(n, m), np.where(n == 0, m, 0)
     left = np.flatnonzero((n > 0) & (m > 0))
     left = left[np.argsort((n + m)[left], kind="stable")]
@@ -209,13 +238,8 @@ def _count_some(refs: list[str], hyps: list[str]) -> np.ndarray:
 
 def count_all(refs: list[str], hyps: list[str]) -> np.ndarray:
     """Deletions, substitutions and insertions of every pair, a row each: the numbers of what ``align_all`` finds."""
-    ends = np.cumsum([len(r) + len(h) for r, h in zip(refs, hyps, strict=True)], dtype=np.int64)
-    parts, at = [np.zeros((3, 0), np.int64)], 0
-    while at < len(refs):
-        to = max(at + 1, int(np.searchsorted(ends, CHARS + (ends[at - 1] if at else 0), "right")))
-        parts.append(_count_some(refs[at:to], hyps[at:to]))
-        at = to
-    return np.concatenate(parts, axis=1)
+    parts = [_count_some(refs[at:to], hyps[at:to]) for at, to in _lots(refs, hyps)]
+    return np.concatenate([np.zeros((3, 0), np.int64), *parts], axis=1)
 
 
 def align(ref: str, hyp: str) -> list[tuple[str, int, int]]:

@@ -67,6 +67,13 @@ def test_counts_are_those_of_the_alignment(monkeypatch):
     assert E.count_all([], []).shape == (3, 0)
 
 
+def test_only_what_differs_gets_a_matrix(monkeypatch):
+    seen, whole = [], E._align_together
+    monkeypatch.setattr(E, "_align_together", lambda a, b: seen.extend((len(x), len(y)) for x, y in zip(a, b, strict=True)) or whole(a, b))
+    assert E.align("say hello twice", "say hullo twice") == [("sub", 5, 5)] and seen == [(1, 1)]
+    assert E.align("abc", "abxc") == [("ins", 2, 2)] and E.align("ab", "") == [("del", 0, 0), ("del", 1, 0)] and len(seen) == 1
+
+
 def test_pairs_are_aligned_once_for_all_sums(spark):
     schema = "reference string, prediction string, kind string, page long"
     rows = spark.createDataFrame([("abc", "axcd", "x", 1), ("  b  c", "b", None, 1), ("d", "", "x", 2), (None, "é", "y", None)], schema)
